@@ -63,7 +63,7 @@ def feature_vectors(log: DataFrame, kinds: DataFrame) -> DataFrame:
 def feature_table(log: DataFrame, kinds: DataFrame) -> DataFrame:
     """One row per user stream: stream, then n_<k>, total_<k>, latest_<k> for every kind number k.
 
-    n is 0 and total and latest are null where a stream has no event of the kind; total is null too where no event of the
+    n is 0 and total (the exact decimal sum as a double) and latest are null where a stream has no event of the kind; total is null too where no event of the
     cell has an amount. Streams without any event of a known kind have a row as well, with counts of 0.
     """
     numbers = sorted(r["kind_no"] for r in kinds.filter(F.col("type").isNotNull()).select("kind_no").distinct().limit(MOST_KINDS).collect())
@@ -74,7 +74,7 @@ def feature_table(log: DataFrame, kinds: DataFrame) -> DataFrame:
     out = ["stream"]
     for k in numbers:
         cell = F.try_element_at("m", F.lit(k))
-        out += [F.coalesce(cell["n"], F.lit(0)).alias(f"n_{k}"), cell["total"].alias(f"total_{k}"), cell["latest"].alias(f"latest_{k}")]
+        out += [F.coalesce(cell["n"], F.lit(0)).alias(f"n_{k}"), cell["total"].cast("double").alias(f"total_{k}"), cell["latest"].alias(f"latest_{k}")]
     return wide.select(*out)
 
 

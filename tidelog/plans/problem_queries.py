@@ -198,6 +198,6 @@ arg_max(max_age, seq) AS max_age, arg_max(max_count, seq) AS max_count FROM l GR
 }
 _WIDE = ", ".join(f"coalesce(max(n) FILTER (kind_no = {k}), 0) AS n_{k}, max(total) FILTER (kind_no = {k}) AS total_{k}, max(latest) FILTER (kind_no = {k}) AS latest_{k}" for k in range(1, 241))
 ORACLE["p5_features"] = (
-    _CELLS.replace("CAST(sum(amount) AS DOUBLE)", "CAST(sum(amount) AS DECIMAL(38,6))")
+    _CELLS
     + f", u AS (SELECT DISTINCT stream FROM event_log WHERE stream IS NOT NULL AND version IS NOT NULL AND NOT starts_with(stream, '_')) SELECT stream, {_WIDE} FROM u LEFT JOIN c USING (stream) GROUP BY stream"
 )
