@@ -5,9 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import sentences
+from tidelog.llm import seen, sentences, topn
 from tidelog.sources.tables import table
 
+# ---- 4: has this key been seen before?
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Incoming rows whose stream is in the index or came earlier: answers of the filters, positives verified."""
+    rows = seen.seen_rows(table(spark, d, "index_entry"), table(spark, d, "incoming_entry"), "stream", "arrival_no", "segment_no")
+    return rows.select("arrival_no")
+
+
+def p4_error_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often the filters were asked and wrong."""
+    return seen.error_report(table(spark, d, "index_entry"), table(spark, d, "incoming_entry"), "stream", "arrival_no", "segment_no")
+
+
+# ---- 7: top N in every group
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The 3 newest events of every stream."""
+    return topn.top_n(table(spark, d, "event_log"), "stream", "version", "position", 3).select("stream", "version", "position")
+
+
 # ---- 10: sentences
 
 
@@ -21,5 +43,15 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"), "text", ["doc_id", "lang"])
 
 
-QUERIES = {f.__name__: f for f in (p10_found, p10_sentences)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p4_found, p4_error_rates, p7_found, p10_found, p10_sentences)}
+
+ORACLE = {
+    "p4_found": """
+SELECT arrival_no FROM (SELECT arrival_no, stream, min(arrival_no) OVER (PARTITION BY stream) AS f FROM incoming_entry WHERE stream IS NOT NULL)
+WHERE arrival_no > f OR stream IN (SELECT stream FROM index_entry WHERE stream IS NOT NULL)""",
+    "p7_found": """
+SELECT stream, version, position FROM (
+  SELECT stream, version, position, row_number() OVER (PARTITION BY stream ORDER BY version DESC, position) AS r
+  FROM (SELECT DISTINCT stream, version, position FROM event_log WHERE stream IS NOT NULL AND version IS NOT NULL AND position IS NOT NULL))
+WHERE r <= 3""",
+}
