@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import seen, sentences, topn
+from tidelog.llm import lexicon, packing, seen, sentences, topn
 from tidelog.sources.tables import table
 
 # ---- 4: has this key been seen before?
@@ -30,6 +30,38 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(table(spark, d, "event_log"), "stream", "version", "position", 3).select("stream", "version", "position")
 
 
+# ---- 8: encoding
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of every text by byte_bpe_50k."""
+    return lexicon.encode(table(spark, d, "documents"), ["doc_id"], "text", lexicon.Vocabulary.public("byte_bpe_50k"))
+
+
+# ---- 9: packing
+
+
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, dict[int, int]]:
+    """Every text packed into every kind of container, and the kinds' capacities (container_kind is a fixed table of three)."""
+    kinds = table(spark, d, "container_kind").select("container_no", "tokenizer", "capacity").collect()
+    sizes = packing.token_counts(table(spark, d, "documents"), "doc_id", "text", sorted({k["tokenizer"] for k in kinds}))
+    which = spark.createDataFrame([(k["container_no"], k["tokenizer"]) for k in kinds], "kind int, tokenizer string")
+    capacities = {k["container_no"]: k["capacity"] for k in kinds}
+    return packing.pack(sizes.join(F.broadcast(which), "tokenizer").select("kind", "item", "size"), capacities), capacities
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every text or piece of a text, for each kind of container."""
+    packed, _ = _packed(spark, d)
+    return packed.select(F.col("kind").alias("container_no"), F.col("item").alias("doc_id"), "piece", F.col("size").alias("n_tokens"), "container")
+
+
+def p9_unused_space(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers are filled."""
+    packed, capacities = _packed(spark, d)
+    return packing.unused_space(packed, capacities).withColumnRenamed("kind", "container_no")
+
+
 # ---- 10: sentences
 
 
@@ -43,7 +75,7 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"), "text", ["doc_id", "lang"])
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_error_rates, p7_found, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_error_rates, p7_found, p8_ids, p9_containers, p9_unused_space, p10_found, p10_sentences)}
 
 ORACLE = {
     "p4_found": """
