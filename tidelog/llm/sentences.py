@@ -65,68 +65,97 @@ def _sub(text: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(to))
 
 
-def _mask_spans(text: Column, spans: str) -> Column:
-    """Mask the marks inside every match of spans; the matches stay enclosed in OPEN and CLOSE."""
+def _mask_spans(text: Column, spans: str, first: str) -> Column:
+    """Mask the marks inside every match of spans, which begins with a character of first; matches get OPEN and CLOSE around."""
     cut = F.split(_sub(text, f"({spans})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
     inside = lambda x: F.concat(F.lit(OPEN), F.translate(x, MARKS, MASKED), F.lit(CLOSE))
-    return F.array_join(F.transform(cut, lambda x, i: F.when(i % 2 == 1, inside(x)).otherwise(x)), "")
+    joined = F.array_join(F.transform(cut, lambda x, i: F.when(i % 2 == 1, inside(x)).otherwise(x)), "")
+    return F.when(text.rlike(f"[{first}]"), joined).otherwise(text)
 
 
 def _drop_signs(text: Column) -> Column:
     return F.translate(text, OPEN + CLOSE, "")
 
 
+def _dot_after(words: str, then: str = "") -> str:
+    """A pattern for a dot behind words (looked at only where there is a dot) and before what `then` says."""
+    return rf"\.(?<=(?:{words})\.){then}"
+
+
+def _mask_dots(text: Column) -> Column:
+    """Mask the dots of abbreviations, initials, dates, decimals and names."""
+    begins = rf"(?:{NOT_IN_WORD}|(?<=[^{CASED}\p{{N}}])(?=\p{{IsLatin}}))"
+    goes_on = rf"(?=\s*[^\s{BLANK}])(?!\s*{BLANK})"
+    ending = _alternatives(ENDING)
+    patterns = [
+        # abbreviations with inner dots and titles, before single dots are looked at
+        "(?iu)" + _dot_after(rf"{NOT_IN_WORD}(?:e|i|p|z|u|d|s|o|т|π|κ|a|c|S)", rf"(?=[ \u00a0]?(?:g|e|ex|ej|m|B|a|h|ä|χ|λπ|ά|A|е|к|н|C)[.{DOT}])"),
+        "(?iu)" + _dot_after(rf"{NOT_IN_WORD}т", rf"(?=[ \u00a0]?(?:д|п)[.{DOT}])"),
+        "(?u)" + _dot_after(begins + _alternatives(TITLES + [w.upper() for w in TITLES]), goes_on),
+        "(?iu)" + _dot_after(begins + _alternatives(CONNECTORS), goes_on),
+        "(?iu)" + _dot_after(begins + _alternatives(NUMBERED), r"(?=\s{0,2}\p{N})"),
+        # initials; in scripts without spaces they may follow a letter of another script
+        _dot_after(rf"(?<![{CASED}\p{{N}}])(?<![{CASED}]\p{{M}})(?<!\bu[.{DOT}][ \u00a0])\p{{Lu}}", r"(?=[ \u00a0]?[\r\n]{0,2}\p{L})"),
+        # abbreviations that may end a sentence, and don't here
+        "(?iu)" + _dot_after(NOT_IN_WORD + ending, r"(?=[ \u00a0]*[,;:)\]])"),
+        "(?iu)" + _dot_after(NOT_IN_WORD + ending, rf"(?=\s{{1,2}}{ending}\.)"),
+        _dot_after(rf"{NOT_IN_WORD}(?iu:{ending})", rf"(?=\s+{SMALL})"),
+        # Thai months
+        _dot_after("[พมกสตธ]|มี|เม|มิ", r"(?=[คพยม]\.)"),
+        _dot_after(f"{DOT}[คพยม]"),
+        # ordinal numbers of dates
+        _dot_after(r"\p{N}", rf"(?=[ \u00a0](?:{'|'.join(MONTHS)})\b)"),
+        # decimals, versions, file and host names: a dot between letters or digits, but not `word.Word` and not between words of other scripts
+        _dot_after(r"\p{N}", r"(?=[\p{L}\p{N}])"),
+        _dot_after(r"\p{L}", r"(?=\p{N})"),
+        _dot_after(f"[{CASED}]", rf"(?=[{CASED}])(?!(?<=\p{{Ll}}\.)\p{{Lu}}[\p{{Ll}} ])"),
+    ]
+    out = text
+    for p in patterns:
+        out = _sub(out, p, DOT)
+    return out
+
+
 def masked(text: Column) -> Column:
-    """Step 1: the text with everything masked that surely doesn't end a sentence. Same length."""
+    """Step 1: the text with everything masked that surely doesn't end a sentence, but for spans. Same length."""
     t = F.translate(text, PLACEHOLDERS, "x" * len(PLACEHOLDERS))
     # the line break that begins a blank line
     t = _sub(t, r"(?:\n|\r(?!\n))(?=[ \t\u000b\f\r\u00a0\u3000]*(?:\n|\r(?!\n)))", BLANK)
     # URLs and addresses: marks followed by more of them
-    t = _sub(t, r"(?<=[A-Za-z0-9/=&_-])\?(?=[A-Za-z0-9_%-]+=)", ASK)
-    # abbreviations with inner dots and titles, before single dots are looked at
-    t = _sub(t, rf"(?iu){NOT_IN_WORD}(e|i|p|z|u|d|s|o|т|π|κ|a|c|S)\.(?=[ \u00a0]?(?:g|e|ex|ej|m|B|a|h|ä|χ|λπ|ά|A|е|к|н|C)[.{DOT}])", f"$1{DOT}")
-    t = _sub(t, rf"(?iu){NOT_IN_WORD}(т)\.(?=[ \u00a0]?(?:д|п)[.{DOT}])", f"$1{DOT}")
-    begins = rf"(?:{NOT_IN_WORD}|(?<=[^{CASED}\p{{N}}])(?=\p{{IsLatin}}))"
-    goes_on = rf"(?=\s*[^\s{BLANK}])(?!\s*{BLANK})"
-    t = _sub(t, rf"(?u){begins}({_alternatives(TITLES + [w.upper() for w in TITLES])})\.{goes_on}", f"$1{DOT}")
-    t = _sub(t, rf"(?iu){begins}({_alternatives(CONNECTORS)})\.{goes_on}", f"$1{DOT}")
-    t = _sub(t, rf"(?iu){begins}({_alternatives(NUMBERED)})\.(?=\s{{0,2}}\p{{N}})", f"$1{DOT}")
-    # initials; in scripts without spaces they may follow a letter of another script
-    t = _sub(t, rf"(?<![{CASED}\p{{N}}])(?<![{CASED}]\p{{M}})(?<!\bu[.{DOT}][ \u00a0])(\p{{Lu}})\.(?=[ \u00a0]?[\r\n]{{0,2}}\p{{L}})", f"$1{DOT}")
-    # abbreviations that may end a sentence, and don't here
-    t = _sub(t, rf"(?iu){NOT_IN_WORD}({_alternatives(ENDING)})\.(?=[ \u00a0]*[,;:)\]])", f"$1{DOT}")
-    t = _sub(t, rf"(?iu){NOT_IN_WORD}({_alternatives(ENDING)})\.(?=\s{{1,2}}{_alternatives(ENDING)}\.)", f"$1{DOT}")
-    t = _sub(t, rf"{NOT_IN_WORD}((?iu:{_alternatives(ENDING)}))\.(?=\s+{SMALL})", f"$1{DOT}")
-    t = _sub(t, rf"([พมกสตธ]|มี|เม|มิ)\.(?=[คพยม]\.)", f"$1{DOT}")
-    t = _sub(t, rf"({DOT}[คพยม])\.", f"$1{DOT}")
-    # ordinal numbers of dates
-    t = _sub(t, rf"(?<=\p{{N}})\.(?=[ \u00a0](?:{'|'.join(MONTHS)})\b)", DOT)
-    # decimals, versions, file and host names: a dot between letters or digits, but not `word.Word` and not between words of other scripts
-    t = _sub(t, r"(?<=\p{N})\.(?=[\p{L}\p{N}])|(?<=\p{L})\.(?=\p{N})", DOT)
-    t = _sub(t, rf"(?<=[{CASED}])\.(?=[{CASED}])(?!(?<=\p{{Ll}}\.)\p{{Lu}}[\p{{Ll}} ])", DOT)
-    # brackets
-    t = _drop_signs(_mask_spans(t, rf"\([^(){BLANK}]*\)|（[^（）{BLANK}]*）|\[[^\[\]{BLANK}]*\]|【[^【】{BLANK}]*】"))
-    # an ellipsis before a small letter goes on
-    t = _sub(t, rf"\.\.\.(?=\s*{SMALL})", ELL * 3)
+    t = _sub(t, r"\?(?<=[A-Za-z0-9/=&_-]\?)(?=[A-Za-z0-9_%-]+=)", ASK)
+    return _mask_dots(t)
+
+
+BRACKETS = rf"\([^(){BLANK}]*\)|（[^（）{BLANK}]*）|\[[^\[\]{BLANK}]*\]|【[^【】{BLANK}]*】"
+
+
+def with_brackets(text: Column) -> Column:
+    """Marks in brackets masked."""
+    return _drop_signs(_mask_spans(text, BRACKETS, r"(（\[【"))
+
+
+def with_ellipses(text: Column) -> Column:
+    """An ellipsis before a small letter goes on: masked."""
+    t = _sub(text, rf"\.\.\.(?=\s*{SMALL})", ELL * 3)
     return _sub(t, rf"…(?=\s*{SMALL})", ELL)
 
 
 QUOTES = "|".join([
     rf"“[^“”{BLANK}]*”", rf"„[^„“”{BLANK}]*[“”]", rf"«[^«»{BLANK}]*»", rf"»[^«»{BLANK}]*«", rf"「[^「」{BLANK}]*」", rf"『[^『』{BLANK}]*』", rf"‘(?=\S)[^‘’{BLANK}]*’(?!\p{{L}})",
-    rf'(?<![^\s{BLANK}:：(（。！？।，、{LETTER}]|\p{{IsLatin}})"(?=\S)[^"{BLANK}]*"', rf"(?<![{LETTER}\p{{N}}])'(?=\S)[^'{BLANK}]*(?:(?<=\p{{L}})'(?=\p{{L}})[^'{BLANK}]*)*'(?!\p{{L}})",
+    rf'"(?<!(?:[^\s{BLANK}:：(（。！？।，、{LETTER}]|\p{{IsLatin}})")(?=\S)[^"{BLANK}]*"', rf"'(?<![{LETTER}\p{{N}}]')(?=\S)[^'{BLANK}]*(?:(?<=\p{{L}})'(?=\p{{L}})[^'{BLANK}]*)*'(?!\p{{L}})",
 ])
 
 
 def with_quotes(text: Column) -> Column:
     """Step 2: marks in quotations masked, and a CUT behind those that end their sentence."""
-    t = _mask_spans(text, QUOTES)
+    t = _mask_spans(text, QUOTES, "“„«»「『‘\"'")
     ends = f"[{DOT}{BANG}{ASK}{WIDE}{ELL}{SEMI}]"
     # reporting words first: the quotation ends the sentence, unless it goes on; Thai sentences end without a mark, so only its word for `that` tells
     body = f"[^{OPEN}{CLOSE}]*{ends}{SPACE}?[^{OPEN}{CLOSE}\\s{SPACE}]{CLOSE}"
     stays = rf"(?!\s*(?:{SMALL}|[,;:，、；：.。!?！？と]))"
     blank = r"[ \t\r\n\u00a0]{0,3}"
-    t = _sub(t, rf"(?<=[{LETTER}\p{{N}},，、:：>&&[^\p{{IsThai}}]]{blank})({OPEN}(?!.\p{{IsThai}}){body}){stays}", f"$1{CUT}")
-    t = _sub(t, rf"(?<=(?:ว่า|[:：]){blank})({OPEN}.\p{{IsThai}}{body.replace(ends, '')})", f"$1{CUT}")
+    t = _sub(t, rf"({OPEN}(?<=[{LETTER}\p{{N}},，、:：>&&[^\p{{IsThai}}]]{blank}{OPEN})(?!.\p{{IsThai}}){body}){stays}", f"$1{CUT}")
+    t = _sub(t, rf"({OPEN}(?<=(?:ว่า|[:：]){blank}{OPEN}).\p{{IsThai}}{body.replace(ends, '')})", f"$1{CUT}")
     return _drop_signs(t)
 
 
@@ -137,9 +166,9 @@ def with_terminators(text: Column) -> Column:
     t = _sub(t, rf"([。！？।॥؟｡](?:[ ]?[。！？।॥؟｡!?.…])*[{CLOSERS}]*)", f"$1{CUT}")
     # ASCII terminators end before white space, other scripts and capitals
     t = _sub(t, rf"([!?]+[!?.]*[{CLOSERS}]*)(?=[\s{BLANK}]|$|\p{{Lu}}|[^\x00-\x7f\p{{Ll}}{CUT}{DOT}{BANG}{ASK}{WIDE}{ELL}{SEMI}])", f"$1{CUT}")
-    t = _sub(t, rf"((?<!\.)\.(?!\.)[{CLOSERS}]*)(?=[\s{BLANK}]|$|\p{{Lu}}[\p{{Ll}} ]|[“„«¿¡\p{{IsArabic}}\p{{IsDevanagari}}\p{{IsThai}}\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])", f"$1{CUT}")
+    t = _sub(t, rf"(\.(?<!\.\.)(?!\.)[{CLOSERS}]*)(?=[\s{BLANK}]|$|\p{{Lu}}[\p{{Ll}} ]|[“„«¿¡\p{{IsArabic}}\p{{IsDevanagari}}\p{{IsThai}}\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])", f"$1{CUT}")
     # the Greek question mark
-    t = _sub(t, rf"((?<=\p{{IsGreek}}\p{{M}}{{0,2}})[;;][{CLOSERS}]*)(?=[\s{BLANK}]|$)", f"$1{CUT}")
+    t = _sub(t, rf"([;;](?<=\p{{IsGreek}}\p{{M}}{{0,2}}[;;])[{CLOSERS}]*)(?=[\s{BLANK}]|$)", f"$1{CUT}")
     t = _sub(t, BLANK, BLANK + CUT)
     # an ellipsis behind a short opening (no more than a subject) of a script without capitals goes on, any other ends
     opening = rf"((?:^|{CUT})[\s{BLANK}]*(?:\p{{N}}+[ ]×?[ ]?)?)"
@@ -148,8 +177,8 @@ def with_terminators(text: Column) -> Column:
     spaced = r"[\p{IsArabic}\p{IsDevanagari}\p{M}]+(?:[ \n][\p{IsArabic}\p{IsDevanagari}\p{M}]+){0,2}"
     t = _sub(t, rf"(?m){opening}({spaced})…", f"$1$2{ELL}")
     t = _sub(t, rf"(?m){opening}({spaced})\.\.\.", f"$1$2{ELL * 3}")
-    t = _sub(t, rf"(?<=\p{{IsThai}})…", ELL)
-    t = _sub(t, rf"(?<=\p{{IsThai}})\.\.\.", ELL * 3)
+    t = _sub(t, rf"…(?<=\p{{IsThai}}…)", ELL)
+    t = _sub(t, rf"\.\.\.(?<=\p{{IsThai}}\.\.\.)", ELL * 3)
     return _sub(t, rf"((?:…|\.\.\.)[….]*[{CLOSERS}]*)", f"$1{CUT}")
 
 
@@ -179,9 +208,14 @@ def with_thai(text: Column) -> Column:
     return _sub(t, rf"(?<![{thai}])({led}|{alone})(?<!{leads})(?<![”\"»』」]){between}", f"$1{CUT}")
 
 
-def boundaries(text: Column) -> Column:
-    """The text with CUT behind every sentence; without CUT it has the length of the original."""
-    return with_thai(with_terminators(with_quotes(masked(text))))
+STEPS = (masked, with_brackets, with_ellipses, with_quotes, with_terminators)
+
+
+def with_boundaries(rows: DataFrame, text: str) -> DataFrame:
+    """Put CUT behind every sentence of a text column; without CUT it has the length of the original."""
+    for step in STEPS:
+        rows = rows.withColumn(text, step(F.col(text)))
+    return rows.withColumn(text, F.when(F.col(text).rlike(r"\p{IsThai}"), with_thai(F.col(text))).otherwise(F.col(text)))
 
 
 def split_sentences(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -191,7 +225,7 @@ def split_sentences(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     The operator is a projection: no shuffle, no Python, whole texts of any length; other columns are dropped.
     """
     rows = df.filter(F.col(text).isNotNull()).select(*keys, F.col(text).alias("__text"))
-    rows = rows.withColumn("__pieces", F.split(boundaries(F.col("__text")), CUT, -1))
+    rows = with_boundaries(rows.withColumn("__cut", F.col("__text")), "__cut").withColumn("__pieces", F.split("__cut", CUT, -1))
     ends = F.aggregate(
         "__pieces",
         F.array(F.lit(0)),
