@@ -179,7 +179,10 @@ def with_terminators(text: Column) -> Column:
     t = _sub(t, rf"(?m){opening}({spaced})\.\.\.", f"$1$2{ELL * 3}")
     t = _sub(t, rf"…(?<=\p{{IsThai}}…)", ELL)
     t = _sub(t, rf"\.\.\.(?<=\p{{IsThai}}\.\.\.)", ELL * 3)
-    return _sub(t, rf"((?:…|\.\.\.)[….]*[{CLOSERS}]*)", f"$1{CUT}")
+    t = _sub(t, rf"((?:…|\.\.\.)[….]*[{CLOSERS}]*)", f"$1{CUT}")
+    # the same behind a sentence that an ellipsis ended
+    short = rf"(?:[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー々]{{1,8}}|{spaced})"
+    return _sub(t, rf"([….]{CUT}\s{{0,3}}{short}(?:…|\.\.\.)){CUT}", "$1")
 
 
 # Thai words that go on with a statement, and words after which it can't end.
