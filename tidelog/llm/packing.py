@@ -4,7 +4,8 @@ Every partition keeps a fixed number of open containers per kind. An item goes i
 least room in; if it fits in none, a new one is opened, and when that is one too many, the fullest is emitted. Items are
 never split unless they exceed the capacity: such an item becomes pieces of full capacity and a rest that is placed like
 any item. What is left open at the end of all partitions is merged: these containers, taken whole, are packed as items
-(largest first, best fit); there are at most WINDOWS of them per partition and kind, two numbers each.
+(largest first, best fit), first within groups of partitions, then what is emptiest in each group once more over all, so
+that no task gets more than WINDOWS containers of each of MERGE_PARTITIONS partitions or groups.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as Over
 from pyspark.sql import functions as F
 
-from tidelog.session import written
+from tidelog.session import broadcast_if_small, written
 
 #: Open containers per kind and partition.
 WINDOWS = 64
+#: Partitions whose open containers one task merges.
+MERGE_PARTITIONS = 1024
 PLACED = "kind int, item long, piece int, size int, container string, full boolean"
-MERGED = "kind int, container string, into string"
+MERGED = "kind int, container string, size int, into string, room int"
 
 
 class Window:
@@ -94,25 +97,40 @@ def place_items(items: DataFrame, capacities: dict[int, int], windows: int = WIN
     return written(items.select("kind", "item", "size").mapInPandas(run, PLACED), "placed")
 
 
-def merge_open(placed: DataFrame, capacities: dict[int, int]) -> DataFrame:
-    """kind, container, into: the open containers of all partitions packed whole, largest first, best fit, one task a kind."""
-    left = placed.filter(~F.col("full")).groupBy("kind", "container").agg(F.sum("size").cast("int").alias("size"))
+def _merged(bins: DataFrame, capacities: dict[int, int], by: str) -> DataFrame:
+    """kind, container, size, into, room (left in the container it goes into at the end) of bins (kind, container, size, by)."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        kind = key[0]
+        kind = int(key[0])
         rooms: list[tuple[int, int, str]] = []
+        left: dict[str, int] = {}
         out = []
-        for size, container in sorted(zip(pdf["size"], pdf["container"]), key=lambda x: (-x[0], x[1])):
+        for size, container in sorted(zip(pdf["size"].tolist(), pdf["container"]), key=lambda x: (-x[0], x[1])):
             at = bisect.bisect_left(rooms, (size, -1, ""))
             if at < len(rooms):
                 room, n, into = rooms.pop(at)
             else:
                 room, n, into = capacities[kind], len(out), container
+            left[into] = room - size
             bisect.insort(rooms, (room - size, n, into))
-            out.append((kind, container, into))
-        return pd.DataFrame(out, columns=["kind", "container", "into"])
+            out.append((kind, container, size, into))
+        return pd.DataFrame([(*row, left[row[3]]) for row in out], columns=["kind", "container", "size", "into", "room"])
 
-    return left.groupBy("kind").applyInPandas(run, MERGED)
+    return bins.groupBy("kind", by).applyInPandas(run, MERGED)
+
+
+def merge_open(placed: DataFrame, capacities: dict[int, int], windows: int = WINDOWS) -> DataFrame:
+    """kind, container, into: the open containers of all partitions packed whole, largest first, best fit, in two rounds."""
+    part = (F.split_part("container", F.lit("-"), F.lit(2)).cast("long") / MERGE_PARTITIONS).cast("long")
+    bins = placed.filter(~F.col("full")).groupBy("kind", "container").agg(F.sum("size").cast("int").alias("size")).withColumn("grp", part)
+    one = written(_merged(bins, capacities, "grp"), "merged")
+    # the emptiest containers of each group meet once more; a group brings as many as a partition had
+    group = (F.split_part("into", F.lit("-"), F.lit(2)).cast("long") / MERGE_PARTITIONS).cast("long")
+    filled = one.groupBy("kind", "into").agg(F.sum("size").cast("int").alias("size"), F.max("room").alias("room")).withColumn("grp", group)
+    emptiest = filled.withColumn("r", F.row_number().over(Over.partitionBy("kind", "grp").orderBy(F.desc("room"), "into"))).filter(F.col("r") <= windows)
+    two = _merged(emptiest.select("kind", F.col("into").alias("container"), "size", F.lit(0).alias("all")), capacities, "all")
+    last = two.select("kind", F.col("container").alias("into"), F.col("into").alias("final"))
+    return written(one.join(last, ["kind", "into"], "left").select("kind", "container", F.coalesce("final", "into").alias("into")), "merges")
 
 
 def pack(items: DataFrame, capacities: dict[int, int], windows: int = WINDOWS) -> DataFrame:
@@ -123,7 +141,7 @@ def pack(items: DataFrame, capacities: dict[int, int], windows: int = WINDOWS) -
     """
     sized = items.select("kind", "item", F.coalesce("size", F.lit(0)).alias("size"))
     placed = place_items(sized.filter(F.col("size") > 0), capacities, windows)
-    merged = placed.join(F.broadcast(merge_open(placed, capacities)), ["kind", "container"], "left")
+    merged = placed.join(broadcast_if_small(merge_open(placed, capacities, windows)), ["kind", "container"], "left")
     out = merged.select("kind", "item", "piece", "size", F.coalesce("into", "container").alias("container"))
     nothing = sized.filter(F.col("size") <= 0).select("kind", "item", F.lit(0).alias("piece"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("container"))
     return out.unionByName(nothing)

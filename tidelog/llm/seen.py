@@ -165,15 +165,15 @@ def seen_rows(sealed: DataFrame, incoming: DataFrame, key: str, order: str, batc
     """
     keys = probed_keys(sealed, incoming, key, order, batch, generations)
     total = keys.agg(F.sum("n").alias("t")).first()["t"] or 0
-    answer = keys.filter(F.col("known") | (F.col("n") > 1)).select(F.col("key").alias("__key"), F.col("first_order").alias("__first"), F.col("known").alias("__known"), (F.col("n") > total * HOT_SHARE).alias("__hot"))
-    rows = incoming.filter(F.col(key).isNotNull())
-    hot = answer.filter("__hot").drop("__hot")
-    cold = answer.filter("NOT __hot").drop("__hot")
-    wanted = F.col("__known") | (F.col(order) > F.col("__first"))
-    on = F.col(key) == F.col("__key")
-    one = rows.join(F.broadcast(hot), on).filter(wanted)
-    rest = rows.join(F.broadcast(hot), on, "left_anti").join(cold, on).filter(wanted)
-    return one.unionByName(rest).drop("__key", "__first", "__known")
+    answer = keys.filter(F.col("known") | (F.col("n") > 1)).select("key", "first_order", "known", (F.col("n") > total * HOT_SHARE).alias("hot"))
+    # the row's own columns are kept apart, so that their names can't clash
+    rows = incoming.filter(F.col(key).isNotNull()).select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(order).alias("o"))
+    hot = F.broadcast(answer.filter("hot").drop("hot"))
+    cold = answer.filter("NOT hot").drop("hot")
+    wanted = F.col("known") | (F.col("o") > F.col("first_order"))
+    one = rows.join(hot, "key").filter(wanted).select("row.*")
+    rest = rows.join(hot, "key", "left_anti").join(cold, "key").filter(wanted).select("row.*")
+    return one.unionByName(rest)
 
 
 def error_report(sealed: DataFrame, incoming: DataFrame, key: str, order: str, batch: str, generations: int = GENERATIONS) -> DataFrame:
