@@ -142,7 +142,7 @@ def with_ellipses(text: Column) -> Column:
 
 QUOTES = "|".join([
     rf"“[^“”{BLANK}]*”", rf"„[^„“”{BLANK}]*[“”]", rf"«[^«»{BLANK}]*»", rf"»[^«»{BLANK}]*«", rf"「[^「」{BLANK}]*」", rf"『[^『』{BLANK}]*』", rf"‘(?=\S)[^‘’{BLANK}]*’(?!\p{{L}})",
-    rf'"(?<!(?:[^\s{BLANK}:：(（。！？।，、{LETTER}]|\p{{IsLatin}})")(?=\S)[^"{BLANK}]*"', rf"'(?<![{LETTER}\p{{N}}]')(?=\S)[^'{BLANK}]*(?:(?<=\p{{L}})'(?=\p{{L}})[^'{BLANK}]*)*'(?!\p{{L}})",
+    rf'"(?<!(?:[^\s{BLANK}:：(（。！？।，、{LETTER}]|\p{{IsLatin}})")(?=\S)[^"{BLANK}]*"', rf"'(?<![{LETTER}\p{{N}}]')(?=\S)[^'{BLANK}]*+(?:(?<=\p{{L}})'(?=\p{{L}})[^'{BLANK}]*+){{0,50}}+'(?!\p{{L}})",
 ])
 
 
@@ -163,7 +163,7 @@ def with_terminators(text: Column) -> Column:
     """Step 3: a CUT behind every terminator with its closing marks."""
     t = text
     # full-width and Indic terminators end wherever they are; a run of marks and closers belongs together
-    t = _sub(t, rf"([。！？।॥؟｡](?:[ ]?[。！？।॥؟｡!?.…])*[{CLOSERS}]*)", f"$1{CUT}")
+    t = _sub(t, rf"([。！？।॥؟｡][。！？।॥؟｡!?.…]*[{CLOSERS}]*)", f"$1{CUT}")
     # ASCII terminators end before white space, other scripts and capitals
     t = _sub(t, rf"([!?]+[!?.]*[{CLOSERS}]*)(?=[\s{BLANK}]|$|\p{{Lu}}|[^\x00-\x7f\p{{Ll}}{CUT}{DOT}{BANG}{ASK}{WIDE}{ELL}{SEMI}])", f"$1{CUT}")
     t = _sub(t, rf"(\.(?<!\.\.)(?!\.)[{CLOSERS}]*)(?=[\s{BLANK}]|$|\p{{Lu}}[\p{{Ll}} ]|[“„«¿¡\p{{IsArabic}}\p{{IsDevanagari}}\p{{IsThai}}\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])", f"$1{CUT}")
@@ -204,10 +204,13 @@ def with_thai(text: Column) -> Column:
     between = rf"(?=[ ]+(?!{keep}){starts})"
     t = _sub(text, rf"((?<=[{thai} ])(?:ครับ|ค่ะ|คะ|ไหม|หรือเปล่า))(?=[ ]+)(?![ ]+(?:ครับ|ค่ะ|[!?.]))", f"$1{CUT}")
     t = _sub(t, rf"([”\"»』」][ ]{{0,2}}[{thai}]{{1,24}}พูด)(?=[ ]+[{thai}“\"])", f"$1{CUT}")
-    step = rf"(?:[^ {CUT}\n\r{BLANK}]|(?<={leads})[ ]|(?<=[A-Z]{DOT})[ ]|[ ]++(?:(?={keep})|(?!{starts})))"
+    # runs of characters are single classes, so that matching needs no stack however long a text is
+    run = rf"[^ {CUT}\n\r{BLANK}]"
+    inner = rf"(?:(?<={leads})[ ]|(?<=[A-Z]{DOT})[ ]|[ ]++(?:(?={keep})|(?!{starts})))"
     name = rf"(?:[a-z]\p{{Lu}}\p{{Ll}}+[ ]|[A-Za-z][A-Za-z{DOT} ]{{0,23}})?"
-    led = rf"[{thai}]{{1,16}}[ ]+(?!{keep}){name}[{thai}]{step}{{9,}}+"
-    alone = rf"{name}[{thai}]{step}{{16,}}+"
+    more = rf"(?:{inner}{run}++){{0,60}}+"
+    led = rf"[{thai}]{{1,16}}[ ]+(?!{keep}){name}[{thai}](?:{run}{{9,}}+{more}|{run}*+{inner}{run}++{more})"
+    alone = rf"{name}[{thai}](?:{run}{{16,}}+{more}|{run}*+{inner}{run}++{more})"
     return _sub(t, rf"(?<![{thai}])({led}|{alone})(?<!{leads})(?<![”\"»』」]){between}", f"$1{CUT}")
 
 
