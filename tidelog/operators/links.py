@@ -13,14 +13,19 @@ MOST_HOPS = 16
 
 
 def link_to(events: DataFrame, stream: str) -> DataFrame:
-    """Links to events in a stream: stream, type, data, metadata (none). A link to a link points at what that one points at."""
+    """Links to events in a stream: stream, type, data, metadata (none), and ordinal if events have it. A link to a link points at what that one points at."""
     data = F.when(is_link(F.col("type")), F.col("data")).otherwise(event_id(F.col("stream"), F.col("version")))
-    return events.select(F.lit(stream).alias("stream"), F.lit(LINK_TYPE).alias("type"), data.alias("data"), F.lit(None).cast("string").alias("metadata"))
+    return events.select(F.lit(stream).alias("stream"), F.lit(LINK_TYPE).alias("type"), data.alias("data"), F.lit(None).cast("string").alias("metadata"), *_order(events))
 
 
 def emit(events: DataFrame, stream: str) -> DataFrame:
     """Copies of events for another stream: they get their version and time when they are appended."""
-    return events.select(F.lit(stream).alias("stream"), "type", "data", "metadata")
+    return events.select(F.lit(stream).alias("stream"), "type", "data", "metadata", *_order(events))
+
+
+def _order(events: DataFrame) -> list[str]:
+    """The column that tells the order of events, if they have it; it is kept."""
+    return [c for c in ("ordinal",) if c in events.columns]
 
 
 def resolve(rows: DataFrame, log: DataFrame, on_missing: str = "error", most_hops: int = MOST_HOPS) -> DataFrame:

@@ -45,17 +45,19 @@ class EventStore:
     # ---- writing
 
     def _write(self, batch: DataFrame) -> None:
-        rows = batch.select(*COLUMNS, F.monotonically_increasing_id().alias("ordinal"))
-        done = appending.append_versions(self.log, written(rows, "batch")).withColumn("timestamp", F.lit(self.clock()))
+        """Add rows (COLUMNS and ordinal, their order) in one write."""
+        done = appending.append_versions(self.log, batch.select(*COLUMNS, "ordinal")).withColumn("timestamp", F.lit(self.clock()))
         done.select(*[F.col(f.name).cast(f.dataType) for f in LOG]).sortWithinPartitions("stream", "version").write.mode("append").parquet(f"{self.path}/log")
 
     def append(self, events: DataFrame, expected: dict[str, int] | None = None, system: bool = False) -> None:
         """Append events (stream, type, data, metadata) in their order; time and version are the store's.
 
+        The order is the column `ordinal` or else `position` if there is one, else that of the DataFrame's partitions.
         expected: the current version that each stream must have (negative: unchecked); a conflict appends nothing.
         Streams that don't exist are created first.
         """
-        events = written(events.select(*COLUMNS), "append")
+        order = next((F.col(c).cast("long") for c in ("ordinal", "position") if c in events.columns), F.monotonically_increasing_id())
+        events = written(events.select(*COLUMNS, order.alias("ordinal")), "append")
         bad = appending.invalid_rows(events, system).limit(1).collect()
         if bad:
             raise ValueError(bad[0]["reason"])
@@ -65,23 +67,34 @@ class EventStore:
             if conflict:
                 raise ValueError(f"{conflict[0]['stream']} is at version {conflict[0]['current']}, not {conflict[0]['expected']}")
         new = appending.creation_events(appending.implicit_creates(self.catalog, events), self.clock())
-        self._write(new.select(F.lit(0).alias("k"), *COLUMNS).unionByName(events.select(F.lit(1).alias("k"), *COLUMNS)).drop("k"))
+        first = events.agg(F.min("ordinal").alias("o")).first()["o"] or 0
+        before = new.withColumn("ordinal", F.lit(first) - 1 - F.monotonically_increasing_id())
+        self._write(before.select(*COLUMNS, "ordinal").unionByName(events))
+
+    def _write_system(self, rows: DataFrame) -> None:
+        self._write(written(rows.select(*COLUMNS, F.monotonically_increasing_id().alias("ordinal")), "append"))
 
     def create_stream(self, name: str, max_count: int = -1, max_age: int = -1) -> None:
         one = self.spark.createDataFrame([(name,)], "stream string")
         if not self.catalog.filter(F.col("name") == name).isEmpty():
             raise ValueError(f"{name} exists")
-        self._write(appending.creation_events(one, self.clock(), max_count, max_age))
+        self._write_system(appending.creation_events(one, self.clock(), max_count, max_age))
 
     def delete_stream(self, name: str) -> None:
         body = F.to_json(F.struct(F.lit(name).alias("stream"), F.lit(self.version(name)).alias("versionAtDeletion")))
-        self._write(self.spark.range(1).select(F.lit(STREAMS_STREAM).alias("stream"), F.lit(STREAM_DELETED).alias("type"), body.alias("data"), F.lit(None).cast("string").alias("metadata")))
+        self._write_system(self.spark.range(1).select(F.lit(STREAMS_STREAM).alias("stream"), F.lit(STREAM_DELETED).alias("type"), body.alias("data"), F.lit(None).cast("string").alias("metadata")))
 
     def link_to(self, stream: str, events: DataFrame) -> None:
-        self.append(links.link_to(events, stream), system=True)
+        self.append(self._copied(links.link_to, events, stream), system=True)
 
     def emit(self, stream: str, events: DataFrame) -> None:
-        self.append(links.emit(events, stream))
+        self.append(self._copied(links.emit, events, stream))
+
+    @staticmethod
+    def _copied(how: Callable[[DataFrame, str], DataFrame], events: DataFrame, stream: str) -> DataFrame:
+        """What link_to or emit makes of events, in order of their position if they have one."""
+        order = F.col("position") if "position" in events.columns else F.monotonically_increasing_id()
+        return how(events.withColumn("ordinal", order), stream)
 
     # ---- reading
 
