@@ -24,26 +24,32 @@ from tidelog.schema import INDEX_FLUSHED, LINK_TYPE
 SALTS = 16
 
 
-def references(log: DataFrame) -> DataFrame:
-    """kind (`link`, `cause`, `flush`), stream, version, position, timestamp, text of every reference, one per event and kind.
+def name_references(log: DataFrame) -> DataFrame:
+    """kind (`link` or `cause`), stream, version, position, timestamp, text of references to events, one per event and kind.
 
     position is the smallest of the event. Links: the data of rows of the link type (null and empty text too: unreadable).
-    Causes: top-level `cause` of user events with JSON object data; null or absent is no reference. Flushes: top-level
-    `logPosition` of index-flush events, as text; absent or unreadable is none. Null stream or version never refers.
+    Causes: top-level `cause` of user events with JSON object data; null or absent is no reference.
     """
-    user = ~is_system_name(F.col("stream"))
-    link = F.col("type") == LINK_TYPE
-    flush = F.col("type") == INDEX_FLUSHED
-    maybe = (user & may_hold_key(F.col("data"), "cause")) | (flush & may_hold_key(F.col("data"), "logPosition"))
     rows = log.filter(F.col("stream").isNotNull() & F.col("version").isNotNull()).select("stream", "version", "position", "timestamp", "type", "data")
-    rows = rows.filter(link | maybe)
-    kind = F.when(link, F.lit("link")).when(flush, F.lit("flush")).otherwise(F.lit("cause"))
-    parsed = json_object(F.when(F.coalesce(link, F.lit(False)), F.lit(None)).otherwise(F.col("data")))
-    rows = rows.select("stream", "version", "position", "timestamp", kind.alias("kind"), F.col("data").alias("raw"), parsed.alias("v"))
-    text = F.when(F.col("kind") == "link", F.coalesce("raw", F.lit(""))).when(F.col("kind") == "flush", top_level(F.col("v"), "logPosition")).otherwise(top_level(F.col("v"), "cause"))
-    rows = rows.select("stream", "version", "position", "timestamp", "kind", text.alias("text")).filter(F.col("text").isNotNull())
+    link = F.coalesce(F.col("type") == LINK_TYPE, F.lit(False))
+    rows = rows.filter(link | (~is_system_name(F.col("stream")) & may_hold_key(F.col("data"), "cause")))
+    parsed = json_object(F.when(~link, F.col("data")))
+    rows = rows.select("stream", "version", "position", "timestamp", link.alias("link"), F.col("data").alias("raw"), parsed.alias("v"))
+    text = F.when(F.col("link"), F.coalesce("raw", F.lit(""))).otherwise(top_level(F.col("v"), "cause"))
+    return _first(rows.select("stream", "version", "position", "timestamp", F.when(F.col("link"), "link").otherwise("cause").alias("kind"), text.alias("text")))
+
+
+def flush_references(log: DataFrame) -> DataFrame:
+    """The same for the top-level `logPosition` of index-flush events; absent, null or unreadable is no reference. The type
+    filter reaches the scan."""
+    rows = log.filter((F.col("type") == INDEX_FLUSHED) & F.col("stream").isNotNull() & F.col("version").isNotNull())
+    return _first(rows.select("stream", "version", "position", "timestamp", F.lit("flush").alias("kind"), top_level(json_object(F.col("data")), "logPosition").alias("text")))
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """One row per event and kind: that of the smallest position."""
     first = F.min(F.struct("position", "timestamp", "text")).alias("r")
-    return rows.groupBy("stream", "version", "kind").agg(first).select("kind", "stream", "version", "r.position", "r.timestamp", "r.text")
+    return rows.filter(F.col("text").isNotNull()).groupBy("stream", "version", "kind").agg(first).select("kind", "stream", "version", "r.position", "r.timestamp", "r.text")
 
 
 def _salted(streams: DataFrame) -> DataFrame:
@@ -82,9 +88,7 @@ def judged_flushes(refs: DataFrame, log: DataFrame) -> DataFrame:
 
 def judged_references(log: DataFrame) -> DataFrame:
     """Every reference of the log with its status; an event has at most one row per kind."""
-    refs = references(log)
-    names = judged_names(refs.filter(F.col("kind") != "flush"), log)
-    return names.unionByName(judged_flushes(refs.filter(F.col("kind") == "flush"), log))
+    return judged_names(name_references(log), log).unionByName(judged_flushes(flush_references(log), log))
 
 
 def broken_references(log: DataFrame) -> DataFrame:
