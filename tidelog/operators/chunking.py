@@ -14,19 +14,23 @@ Both row shuffles go by (part, key) and (key, chunk), so a key with a third of a
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts of the order column; the bounds are the only thing that reaches the driver.
-PARTS = 64
+#: Rows of a part of the order column, about, and the most parts; their bounds are all that reaches the driver.
+PART_ROWS = 500_000
+MOST_PARTS = 20_000
 #: Rows of a chunk.
 CHUNK_ROWS = 100_000
 
 
-def order_bounds(df: DataFrame, order: Column, parts: int = PARTS) -> list:
-    """At most parts - 1 increasing bounds that cut the order column into about equal parts."""
+def order_bounds(df: DataFrame, order: Column, parts: int | None = None) -> list:
+    """Increasing bounds, fewer than parts, that cut the order column into about equal parts (None: by the number of rows)."""
+    if parts is None:
+        parts = min(MOST_PARTS, max(8, math.ceil(df.count() / PART_ROWS)))
     shares = [i / parts for i in range(1, parts)]
     found = df.agg(F.percentile_approx(order, shares, 10 * parts).alias("b")).first()["b"]
     return sorted(set(found or []))
@@ -40,7 +44,7 @@ def with_part(df: DataFrame, order: str, bounds: list, name: str) -> DataFrame:
     df = df.withColumn(name, F.lit(0))
     if not bounds:
         return df
-    edges = F.array(*[F.lit(b) for b in bounds])
+    edges = F.expr(f"array({', '.join(f'{b!r}D' if isinstance(b, float) else f'{b}L' for b in bounds)})")
     while n > 1:
         n //= 2
         at = F.col(name) + n
@@ -48,7 +52,7 @@ def with_part(df: DataFrame, order: str, bounds: list, name: str) -> DataFrame:
     return df
 
 
-def number_rows(df: DataFrame, key: str, order: list[str], bounds: list | None = None, parts: int = PARTS) -> DataFrame:
+def number_rows(df: DataFrame, key: str, order: list[str], bounds: list | None = None, parts: int | None = None) -> DataFrame:
     """Add `row_no`, from 1, per key in the order given; null keys and their rows are left out.
 
     Rows that are equal in all order columns get numbers in an unspecified order. The first order column must be
@@ -104,7 +108,7 @@ def merge_states(states: DataFrame) -> DataFrame:
     )
 
 
-def key_summary(df: DataFrame, key: str, version: str, position: str, chunk_rows: int = CHUNK_ROWS, parts: int = PARTS) -> DataFrame:
+def key_summary(df: DataFrame, key: str, version: str, position: str, chunk_rows: int = CHUNK_ROWS, parts: int | None = None) -> DataFrame:
     """One row per non-null key, folded over its rows in position order (rows counted as stored).
 
     key (as text), n_rows, n_versions (non-null), min_version, max_version, first_version and last_version (the first and
@@ -116,7 +120,7 @@ def key_summary(df: DataFrame, key: str, version: str, position: str, chunk_rows
     return merge_states(chunk_states(number_rows(rows, "key", ["position", "version"], parts=parts), chunk_rows))
 
 
-def heavy_keys(df: DataFrame, key: str, version: str, position: str, per_cent: float = 1.0, chunk_rows: int = CHUNK_ROWS, parts: int = PARTS) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, version: str, position: str, per_cent: float = 1.0, chunk_rows: int = CHUNK_ROWS, parts: int | None = None) -> DataFrame:
     """key_summary() of the keys that hold at least per_cent of all rows of df, rows with a null key counting for the total."""
     total = df.count()
     return key_summary(df, key, version, position, chunk_rows, parts).filter(F.col("n_rows") * 100 >= F.lit(total * per_cent))
