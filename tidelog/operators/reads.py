@@ -10,7 +10,7 @@ from tidelog.operators.catalog import matching_streams
 from tidelog.operators.links import resolve
 from tidelog.operators.retention import max_age, retained
 from tidelog.schema import INDEX_FLUSHED
-from tidelog.session import broadcast_if_small
+from tidelog.session import small_side
 
 
 def from_all(log: DataFrame, backward: bool = False) -> DataFrame:
@@ -48,7 +48,7 @@ def zip_streams(log: DataFrame, catalog: DataFrame, streams: list[str], now_ms:
 def zip_prefix(log: DataFrame, catalog: DataFrame, pattern: str | None, now_ms: int, on_missing: str = "error") -> DataFrame:
     """Like zip_streams() for the catalog's streams that match; the prefix also filters the scan itself."""
     names = matching_streams(catalog, pattern).withColumnRenamed("name", "stream").distinct()
-    rows = log.filter(matches_pattern(F.col("stream"), pattern)).join(broadcast_if_small(names), "stream", "left_semi").select(*log.columns)
+    rows = log.filter(matches_pattern(F.col("stream"), pattern)).join(small_side(names, "names"), "stream", "left_semi").select(*log.columns)
     return resolve(max_age(rows, catalog, now_ms), log, on_missing).orderBy("position")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.session import broadcast_if_small
+from tidelog.session import small_side
 
 VERSION_LIMIT = "__from_version"
 AGE_LIMIT = "__max_age"
@@ -41,7 +41,7 @@ def limits(log: DataFrame, catalog: DataFrame, count: bool, age: bool) -> DataFr
 
 def retained(log: DataFrame, catalog: DataFrame, now_ms: int, count: bool = True, age: bool = True) -> DataFrame:
     """The log's rows that both limits of their stream keep. Streams without a catalog row have no limit."""
-    joined = log.join(broadcast_if_small(limits(log, catalog, count, age)), "stream", "left")
+    joined = log.join(small_side(limits(log, catalog, count, age), "limits"), "stream", "left")
     keep = (F.col(VERSION_LIMIT).isNull() | (F.col("version") >= F.col(VERSION_LIMIT))) & within_age(F.col(AGE_LIMIT), now_ms)
     return joined.filter(keep).select(*log.columns)
 
@@ -57,4 +57,4 @@ def max_age(log: DataFrame, catalog: DataFrame, now_ms: int) -> DataFrame:
 def scavenge(log: DataFrame, catalog: DataFrame, deleted: DataFrame, now_ms: int) -> DataFrame:
     """What a rewrite keeps: streams that aren't deleted (column `name`), then the read-side limits."""
     gone = deleted.select(F.col("name").alias("stream")).distinct()
-    return retained(log.join(broadcast_if_small(gone), "stream", "left_anti"), catalog, now_ms)
+    return retained(log.join(small_side(gone, "deleted"), "stream", "left_anti"), catalog, now_ms)

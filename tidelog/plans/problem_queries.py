@@ -54,7 +54,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_marks(spark: SparkSession, d: str) -> DataFrame:
     """The watermark of every segment that a successful run has read."""
-    return incremental.segment_marks(table(spark, d, "reader_run")).select("segment_no", F.col("mark").cast("string").alias("mark"))
+    return incremental.segment_marks(table(spark, d, "reader_run")).select("segment_no", F.unix_micros(F.col("mark").cast("timestamp")).alias("mark_us"))
 
 
 def p2_incremental_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +180,7 @@ s AS (SELECT stream, version, arg_max(position, written_at) AS now, arg_max(posi
 SELECT stream, version FROM s WHERE old IS NULL OR old IS DISTINCT FROM now""",
     "p2_marks": """
 WITH l AS (SELECT run_id, segment_no, arg_max(lower(trim(status)), report_no) AS st, arg_max(read_until, report_no) AS ru FROM reader_run GROUP BY 1, 2)
-SELECT segment_no, CAST(max(ru) AS VARCHAR) AS mark FROM l WHERE st = 'ok' GROUP BY 1""",
+SELECT segment_no, epoch_us(max(ru)) AS mark_us FROM l WHERE st = 'ok' GROUP BY 1""",
     "p2_incremental_runs": """
 WITH h AS (SELECT CAST(floor(max(position) / 2) AS BIGINT) AS half FROM event_log)
 SELECT stream, count(*) AS n_rows, max(position) AS last_position, CAST(CASE WHEN position <= half THEN 1 ELSE 2 END AS INTEGER) AS commit_no

@@ -25,7 +25,7 @@ WITH log AS (SELECT event_id AS position, 'user-' || user_id AS stream, event_ty
              CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS version,
              epoch_us(ts) // 1000 AS timestamp, props AS data FROM events),
 cat AS (SELECT 'user-' || user_id AS name, min(epoch_us(ts) // 1000) AS created,
-        CASE WHEN user_id % 5 = 0 THEN 172800 ELSE -1 END AS max_age, CAST(CASE WHEN user_id % 3 = 0 THEN 10 ELSE -1 END AS INTEGER) AS max_count
+        CAST(CASE WHEN user_id % 5 = 0 THEN 172800 ELSE -1 END AS BIGINT) AS max_age, CAST(CASE WHEN user_id % 3 = 0 THEN 10 ELSE -1 END AS INTEGER) AS max_count
         FROM events GROUP BY user_id),
 cur AS (SELECT stream, max(version) AS current FROM log GROUP BY stream),
 lim AS (SELECT log.*, c.max_age, c.max_count, current FROM log JOIN cat c ON c.name = log.stream JOIN cur USING (stream)),

@@ -50,6 +50,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that df has at most most_rows rows; else leave the join to the planner."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def small_side(df: DataFrame, label: str, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A join side that is computed once, written to the shared folder, and broadcast only if it has at most most_rows rows.
+
+    Beyond that the hint is left out, and the planner joins by shuffle (AQE splits skewed keys).
+    """
+    side = written(df, label)
+    return F.broadcast(side) if side.count() <= most_rows else side
