@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.session import local_path, shared_dir
+from tidelog.session import local_path, shared_dir, written
 
 #: Words of the lexicon at most: it is compiled on the driver, about 20 bytes a word.
 LEXICON_WORDS = 50_000
@@ -198,9 +198,21 @@ def count_words(docs: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame
     return docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """word of the `most` words with the greatest n (ties by bytes). A quantile of n first leaves few more than that, so
+    that the final sort is small however many words there are."""
+    total = counted.count()
+    if total > 2 * most:
+        least = counted.agg(F.percentile_approx("n", 1 - most / total, 100_000).alias("q")).first()["q"]
+        near = counted.filter(F.col("n") >= least)
+        counted = near if near.count() <= 4 * most else counted.filter(F.col("n") > least)
+    return counted.orderBy(F.desc("n"), "word").limit(most).select("word")
+
+
 def build_lexicon(docs: DataFrame, text: str, vocabulary: Vocabulary, most: int = LEXICON_WORDS) -> dict[str, np.ndarray]:
     """Compile the `most` most frequent words (ties by bytes); the ids are merged in parallel, the automaton is built here."""
-    top = count_words(docs, text, vocabulary).filter(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(most).select("word")
+    counted = written(count_words(docs, text, vocabulary).filter(F.col("n") >= LEAST_COUNT), "words")
+    top = most_frequent(counted, most)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = vocabulary.ranks()

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as Over
 from pyspark.sql import functions as F
 
-from tidelog.session import broadcast_if_small, written
+from tidelog.session import small_side, written
 
 #: Open containers per kind and partition.
 WINDOWS = 64
@@ -130,7 +130,7 @@ def merge_open(placed: DataFrame, capacities: dict[int, int], windows: int = WIN
     emptiest = filled.withColumn("r", F.row_number().over(Over.partitionBy("kind", "grp").orderBy(F.desc("room"), "into"))).filter(F.col("r") <= windows)
     two = _merged(emptiest.select("kind", F.col("into").alias("container"), "size", F.lit(0).alias("all")), capacities, "all")
     last = two.select("kind", F.col("container").alias("into"), F.col("into").alias("final"))
-    return written(one.join(last, ["kind", "into"], "left").select("kind", "container", F.coalesce("final", "into").alias("into")), "merges")
+    return one.join(last, ["kind", "into"], "left").select("kind", "container", F.coalesce("final", "into").alias("into"))
 
 
 def pack(items: DataFrame, capacities: dict[int, int], windows: int = WINDOWS) -> DataFrame:
@@ -141,7 +141,7 @@ def pack(items: DataFrame, capacities: dict[int, int], windows: int = WINDOWS) -
     """
     sized = items.select("kind", "item", F.coalesce("size", F.lit(0)).alias("size"))
     placed = place_items(sized.filter(F.col("size") > 0), capacities, windows)
-    merged = placed.join(broadcast_if_small(merge_open(placed, capacities, windows)), ["kind", "container"], "left")
+    merged = placed.join(small_side(merge_open(placed, capacities, windows), "merges"), ["kind", "container"], "left")
     out = merged.select("kind", "item", "piece", "size", F.coalesce("into", "container").alias("container"))
     nothing = sized.filter(F.col("size") <= 0).select("kind", "item", F.lit(0).alias("piece"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("container"))
     return out.unionByName(nothing)
