@@ -16,6 +16,8 @@ Rules go by the characters found, never by the language label. Placeholders that
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ CLOSERS = "\"'”’»›)\\]）】」』〉》"
 # Abbreviations with a dot after which a sentence goes on.
 TITLES = (
     "Mr Mrs Ms Messrs Dr Prof Rev Hon Capt Cpt Col Gen Lt Maj Sgt Sen Rep Gov St Ste Mt Ft Jr Sr Sra Srta Dra Ud Uds Vd Vds "
-    "M MM Mme Mmes Mlle Mlles Mgr Pr Hr Fr Frl Dipl Ing Dipl.-Ing Nn Акад Проф Доц Инж Г Гг Св Им Д-р Г-н Г-жа К Κ Κα Κος Δρ Καθ "
+    "M MM Mme Mmes Mlle Mlles Mgr Pr Hr Fr Frl Dipl Ing Dipl.-Ing Nn Акад Проф Доц Инж Св Им Д-р Г-н Г-жа К Κ Κα Κος Δρ Καθ "
     "डॉ पं प्रो श्री सुश्री द أ د م ดร นาย"
 ).split()
 CONNECTORS = (
@@ -44,8 +46,8 @@ NUMBERED = "No Nos Nr núm num nº n fig figs Fig Abb Kap Art Bd S p pp pág pá
 # Abbreviations that may end a sentence; they do unless a small letter follows.
 ENDING = (
     "env etc usw u.s.w uswf ff Inc Co Corp Ltd Bros Cía Cia S.A GmbH a.m p.m A.D B.C и пр пр и др др т.д т. д т.п т. п тыс млн млрд руб коп гг вв "
-    "κ.λπ κ.ά κτλ κλπ إلخ พ.ค ม.ค ก.พ มี.ค เม.ย มิ.ย ก.ค ส.ค ก.ย ต.ค พ.ย ธ.ค ฯลฯ"
-).split()
+    "κ.λπ κ.ά π.μ μ.μ κτλ κλπ إلخ พ.ค ม.ค ก.พ มี.ค เม.ย มิ.ย ก.ค ส.ค ก.ย ต.ค พ.ย ธ.ค ฯลฯ"
+).split() + ["a. m", "p. m", "и т. д", "и т. п", "u. Ä", "κ. ά"]
 # Month names that follow an ordinal number with a dot.
 MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split()
 
@@ -57,6 +59,8 @@ NOT_IN_WORD = rf"(?<![{LETTER}\p{{N}}])"
 
 
 def _alternatives(words: list[str]) -> str:
+    # composed and decomposed letters
+    words = [unicodedata.normalize(form, w) for w in words for form in ("NFC", "NFD")]
     forms = sorted({w.replace(".", r"\.").replace(" ", r"[ \u00a0]").replace(r"\.", rf"[.{DOT}]") for w in words}, key=lambda w: (-len(w), w))
     return "(?:" + "|".join(forms) + ")"
 
@@ -84,7 +88,7 @@ def _dot_after(words: str, then: str = "") -> str:
 
 def _mask_dots(text: Column) -> Column:
     """Mask the dots of abbreviations, initials, dates, decimals and names."""
-    begins = rf"(?:{NOT_IN_WORD}|(?<=[^{CASED}\p{{N}}])(?=\p{{IsLatin}}))"
+    begins = rf"(?:{NOT_IN_WORD}|(?<=[^{CASED}\p{{N}}\p{{IsInherited}}])(?=\p{{IsLatin}}))"
     goes_on = rf"(?=\s*[^\s{BLANK}])(?!\s*{BLANK})"
     ending = _alternatives(ENDING)
     patterns = [
@@ -95,7 +99,7 @@ def _mask_dots(text: Column) -> Column:
         "(?iu)" + _dot_after(begins + _alternatives(CONNECTORS), goes_on),
         "(?iu)" + _dot_after(begins + _alternatives(NUMBERED), r"(?=\s{0,2}\p{N})"),
         # initials; in scripts without spaces they may follow a letter of another script
-        _dot_after(rf"(?<![{CASED}\p{{N}}])(?<![{CASED}]\p{{M}})(?<!\bu[.{DOT}][ \u00a0])\p{{Lu}}", r"(?=[ \u00a0]?[\r\n]{0,2}\p{L})"),
+        _dot_after(rf"(?<![{CASED}\p{{N}}])(?<![{CASED}]\p{{M}})(?<!\p{{N}}[ \u00a0])\p{{Lu}}\p{{M}}?(?<!(?iu:{NOT_IN_WORD}{ending}))", r"(?=[ \u00a0]?[\r\n]{0,2}\p{L})"),
         # abbreviations that may end a sentence, and don't here
         "(?iu)" + _dot_after(NOT_IN_WORD + ending, r"(?=[ \u00a0]*[,;:)\]])"),
         "(?iu)" + _dot_after(NOT_IN_WORD + ending, rf"(?=\s{{1,2}}{ending}\.)"),
@@ -168,12 +172,13 @@ def with_terminators(text: Column) -> Column:
     t = _sub(t, rf"([!?]+[!?.]*[{CLOSERS}]*)(?=[\s{BLANK}]|$|\p{{Lu}}|[^\x00-\x7f\p{{Ll}}{CUT}{DOT}{BANG}{ASK}{WIDE}{ELL}{SEMI}])", f"$1{CUT}")
     t = _sub(t, rf"(\.(?<!\.\.)(?!\.)[{CLOSERS}]*)(?=[\s{BLANK}]|$|\p{{Lu}}[\p{{Ll}} ]|[“„«¿¡\p{{IsArabic}}\p{{IsDevanagari}}\p{{IsThai}}\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])", f"$1{CUT}")
     # the Greek question mark
-    t = _sub(t, rf"([;;](?<=\p{{IsGreek}}\p{{M}}{{0,2}}[;;])[{CLOSERS}]*)(?=[\s{BLANK}]|$)", f"$1{CUT}")
+    t = _sub(t, rf"([;\u037e](?<=\p{{IsGreek}}\p{{M}}{{0,2}}[;\u037e])[{CLOSERS}]*)(?=[\s{BLANK}]|$)", f"$1{CUT}")
+    t = _sub(t, rf"([;\u037e])(?=\s+\p{{IsGreek}}(?<=\p{{Lu}}))", f"$1{CUT}")
     t = _sub(t, BLANK, BLANK + CUT)
     # an ellipsis behind a short opening (no more than a subject) of a script without capitals goes on, any other ends
     opening = rf"((?:^|{CUT})[\s{BLANK}]*(?:\p{{N}}+[ ]×?[ ]?)?)"
-    t = _sub(t, rf"(?m){opening}([\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー々]{{1,8}})…", f"$1$2{ELL}")
-    t = _sub(t, rf"(?m){opening}([\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー々]{{1,8}})\.\.\.", f"$1$2{ELL * 3}")
+    t = _sub(t, rf"(?m){opening}((?:[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー々]\p{{M}}?){{1,8}})…", f"$1$2{ELL}")
+    t = _sub(t, rf"(?m){opening}((?:[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー々]\p{{M}}?){{1,8}})\.\.\.", f"$1$2{ELL * 3}")
     spaced = r"[\p{IsArabic}\p{IsDevanagari}\p{M}]+(?:[ \n][\p{IsArabic}\p{IsDevanagari}\p{M}]+){0,2}"
     t = _sub(t, rf"(?m){opening}({spaced})…", f"$1$2{ELL}")
     t = _sub(t, rf"(?m){opening}({spaced})\.\.\.", f"$1$2{ELL * 3}")
@@ -181,7 +186,7 @@ def with_terminators(text: Column) -> Column:
     t = _sub(t, rf"\.\.\.(?<=\p{{IsThai}}\.\.\.)", ELL * 3)
     t = _sub(t, rf"((?:…|\.\.\.)[….]*[{CLOSERS}]*)", f"$1{CUT}")
     # the same behind a sentence that an ellipsis ended
-    short = rf"(?:[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー々]{{1,8}}|{spaced})"
+    short = rf"(?:(?:[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー々]\p{{M}}?){{1,8}}|{spaced})"
     return _sub(t, rf"([….]{CUT}\s{{0,3}}{short}(?:…|\.\.\.)){CUT}", "$1")
 
 
