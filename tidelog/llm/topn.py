@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.session import broadcast_if_small
+from tidelog.session import small_side
+
+#: Rows of a group in a partition from which on a bound is worth its row.
+BOUND_ROWS = 32
 
 
 def _best(code: np.ndarray, score: np.ndarray, tie: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,7 +35,7 @@ def _best(code: np.ndarray, score: np.ndarray, tie: np.ndarray, n: int) -> tuple
 
 
 def local_bounds(rows: DataFrame, n: int) -> DataFrame:
-    """grp, score, tie: the n-th best distinct item of each group in each input partition that has more than n rows of it.
+    """grp, score, tie: the n-th best distinct item of each group in each input partition that has BOUND_ROWS rows of it.
 
     rows: grp string, score long, tie long, no nulls. A partition keeps n items per group while it is read.
     """
@@ -51,7 +54,7 @@ def local_bounds(rows: DataFrame, n: int) -> DataFrame:
             tie = np.concatenate([tie, batch.column(2).to_numpy()])
             top, rank = _best(code, score, tie, n)
             code, score, tie = code[top], score[top], tie[top]
-        last = (rank == n - 1) & (counts[code] > n) if len(code) else np.zeros(0, bool)
+        last = (rank == n - 1) & (counts[code] >= BOUND_ROWS) if len(code) else np.zeros(0, bool)
         names = list(codes)
         yield pa.RecordBatch.from_arrays(
             [pa.array([names[c] for c in code[last]], pa.string()), pa.array(score[last], pa.int64()), pa.array(tie[last], pa.int64())], ["grp", "score", "tie"]
@@ -71,7 +74,7 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, n: int) -> DataFrame:
     rows = df.select(F.col(group).cast("string").alias("grp"), F.col(score).cast("long").alias("score"), F.col(tie).cast("long").alias("tie")).dropna()
     # ~tie turns the order round without overflow
     best = local_bounds(rows, n).groupBy("grp").agg(F.max(F.struct("score", F.bitwise_not("tie").alias("not_tie"))).alias("bound"))
-    kept = rows.join(broadcast_if_small(best), "grp", "left")
+    kept = rows.join(small_side(best, "bounds"), "grp", "left")
     kept = kept.filter(F.col("bound").isNull() | (F.struct("score", F.bitwise_not("tie").alias("not_tie")) >= F.col("bound"))).select("grp", "score", "tie").distinct()
     rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), F.asc("tie")))
     kinds = dict(df.dtypes)
