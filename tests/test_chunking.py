@@ -57,3 +57,14 @@ def test_heavy_keys_count_null_rows_in_the_total(spark):
     assert [r["key"] for r in chunking.heavy_keys(df, "stream", "version", "position").collect()] == ["a"]
     df = spark.createDataFrame(rows + [(None, 1, 100)], df.schema)
     assert chunking.heavy_keys(df, "stream", "version", "position").count() == 0
+
+
+def test_ordered_offsets(spark):
+    rnd = random.Random(9)
+    rows = [(f"k{i:04}", rnd.randrange(5)) for i in range(500)]
+    got = {r["k"]: r["before"] for r in chunking.ordered_offsets(spark.createDataFrame(rnd.sample(rows, 500), "k string, n int").repartition(7), "k", "n").collect()}
+    total = 0
+    for k, n in rows:
+        assert got[k] == total
+        total += n
+    assert chunking.ordered_offsets(spark.createDataFrame([], "k string, n int"), "k", "n").count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.names import is_blank, is_system_name
 from tidelog.operators.chunking import number_rows
 from tidelog.operators.retention import current_versions
-from tidelog.schema import NO_VERSION, STREAM_CREATED, STREAMS_STREAM
+from tidelog.schema import INDEX_FLUSHED, INDEX_STREAM, NO_VERSION, STREAM_CREATED, STREAMS_STREAM
 
 #: Entries of an index flush, and the fewest that may be set.
 FLUSH_ENTRIES = 1_000_000
@@ -69,3 +69,9 @@ def flush_batches(log: DataFrame, entries: int = FLUSH_ENTRIES) -> DataFrame:
     numbered = number_rows(log.select("position", F.lit("all").alias("one")), "one", ["position"])
     batches = numbered.groupBy(F.floor((F.col("row_no") - 1) / entries).alias("flush_no")).agg(F.count(F.lit(1)).alias("n_entries"), F.max("position").alias("log_position"))
     return batches.filter(F.col("n_entries") == entries)
+
+
+def flush_events(flushes: DataFrame) -> DataFrame:
+    """The `_index` events that report flushes (flush_batches()); the flush is the write of the batch, so it takes 0 ms."""
+    body = F.to_json(F.struct(F.col("log_position").alias("logPosition"), F.lit(0).alias("timeTaken"), F.col("n_entries").alias("entries")))
+    return flushes.select(F.lit(INDEX_STREAM).alias("stream"), F.lit(INDEX_FLUSHED).alias("type"), body.alias("data"), F.lit(None).cast("string").alias("metadata"), F.col("flush_no").alias("ordinal"))

@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.session import written
+
 #: Rows of a part of the order column, about, and the most parts; their bounds are all that reaches the driver.
 PART_ROWS = 500_000
 MOST_PARTS = 20_000
@@ -69,6 +71,20 @@ def number_rows(df: DataFrame, key: str, order: list[str], bounds: list | None =
     return local.join(offsets, ["part", key]).withColumn("row_no", F.col("before") + F.col("local_no")).drop("before", "local_no", "part")
 
 
+def ordered_offsets(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """key, before: for each row of counts (one per key) the sum of n over all smaller keys, whatever the key's type.
+
+    The keys are range-partitioned and written once; sums run within the ranges, and over the ranges' totals (one row
+    per range).
+    """
+    ranges = written(counts.select(key, n).repartitionByRange(key).withColumn("range_no", F.spark_partition_id()), "offsets")
+    earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("range_no").agg(F.sum(n).alias("total"))
+    bases = totals.select("range_no", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("range_no").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.join(F.broadcast(bases), "range_no").select(key, (F.col("base") + F.coalesce(F.sum(n).over(within), F.lit(0))).alias("before"))
+
+
 def chunk_states(numbered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One state per (key, chunk) of rows (key, position, version, row_no)."""
     df = numbered.withColumn("chunk", F.floor((F.col("row_no") - 1) / chunk_rows))

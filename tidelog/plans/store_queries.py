@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.json import json_object, top_level
-from tidelog.functions.names import event_id, is_link, reference_stream, reference_version
+from tidelog.functions import text
+from tidelog.functions.names import event_id, is_blank, is_link, is_system_name, reference_stream, reference_version
 from tidelog.operators import appending, catalog, chunking, links, maintenance, reads, retention
 from tidelog.plans import projections as P
 from tidelog.schema import LOG
@@ -418,10 +419,9 @@ SELECT block, arg_min(stream, (stream, version)) AS first_stream, arg_min(versio
 def segment_zone_map(spark, d):
     """Blocks of 200 entries of the sorted index with their least and greatest key."""
     index = reads.keys(_log(spark, d))
-    per = retention.current_versions(index).withColumn("n", F.col("version") + 1)
-    before = per.select(F.lit("all").alias("one"), "stream", "n")
-    base = before.alias("a").join(before.alias("b"), (F.col("a.one") == F.col("b.one")) & (F.col("b.stream") < F.col("a.stream")), "left").groupBy("a.stream").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
-    return maintenance.zone_map(index.join(base, "stream").withColumn("row_no", F.col("base") + F.col("version") + 1), 200)
+    before = chunking.ordered_offsets(index.groupBy("stream").agg(F.count(F.lit(1)).alias("n")), "stream", "n")
+    numbered = chunking.number_rows(index, "stream", ["version"]).join(before, "stream")
+    return maintenance.zone_map(numbered.withColumn("row_no", F.col("before") + F.col("row_no")), 200)
 
 
 @query("SELECT stream, version, min(position) AS position FROM event_log WHERE stream IS NOT NULL AND version IS NOT NULL GROUP BY stream, version")
@@ -511,3 +511,56 @@ def push_batches(spark, d):
 
     subscriptions.push(subscriptions.of_streams(_stream(spark, d), ["ledger-189", "_index"]), count, f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out").groupBy("stream").agg(F.sum("n").alias("n"))
+
+
+# ---- scalar functions and predicates
+
+
+@query("""SELECT position, CASE WHEN stream IS NULL OR version IS NULL THEN NULL ELSE stream || '@' || version END AS event_id, md5(data) AS digest,
+CAST(octet_length(encode(coalesce(data, ''))) AS INTEGER) AS n_bytes, stream IS NULL OR trim(stream) = '' AS blank FROM event_log""")
+def scalar_functions(spark, d):
+    rows = table(spark, d, "event_log")
+    known = F.col("stream").isNotNull() & F.col("version").isNotNull()
+    return rows.select(
+        "position",
+        F.when(known, event_id(F.col("stream"), F.col("version"))).alias("event_id"),
+        text.digest(F.col("data")).alias("digest"),
+        F.octet_length(text.to_bytes(F.col("data"))).alias("n_bytes"),
+        is_blank(F.col("stream")).alias("blank"),
+    )
+
+
+@query("SELECT position, type = '_>' AS link, starts_with(stream, '_') AS system_stream, starts_with(type, '_') AS system_type FROM event_log")
+def system_predicates(spark, d):
+    rows = table(spark, d, "event_log")
+    return rows.select("position", is_link(F.col("type")).alias("link"), is_system_name(F.col("stream")).alias("system_stream"), is_system_name(F.col("type")).alias("system_type"))
+
+
+@query("""SELECT position, CAST(data->>'$.logPosition' AS BIGINT) AS log_position, CAST(data->>'$.entries' AS INTEGER) AS entries FROM event_log WHERE type = '_INDEX_FLUSHED' AND json_valid(data)""")
+def json_fields(spark, d):
+    """Fields of a typed payload."""
+    rows = table(spark, d, "event_log").filter(F.col("type") == "_INDEX_FLUSHED").select("position", json_object(F.col("data")).alias("v"))
+    return rows.filter(F.col("v").isNotNull()).select("position", top_level(F.col("v"), "logPosition", "long").alias("log_position"), top_level(F.col("v"), "entries", "int").alias("entries"))
+
+
+@query("SELECT name, metadata['owner'] AS value FROM stream_catalog")
+def metadata_lookup(spark, d):
+    return catalog.metadata_value(table(spark, d, "stream_catalog"), "owner")
+
+
+@query("""
+WITH n AS (SELECT position, (row_number() OVER (ORDER BY position) - 1) // 1000 AS flush_no FROM event_log)
+SELECT '_index' AS stream, '_INDEX_FLUSHED' AS type, '{"logPosition":' || max(position) || ',"timeTaken":0,"entries":' || count(*) || '}' AS data FROM n GROUP BY flush_no HAVING count(*) = 1000""")
+def flush_events(spark, d):
+    return appending.flush_events(appending.flush_batches(table(spark, d, "event_log"), 1000)).select("stream", "type", "data")
+
+
+@query("SELECT '_streams' AS stream, '_STREAM_CREATED' AS type, s AS name FROM (SELECT DISTINCT stream AS s FROM event_log WHERE stream IS NOT NULL AND stream NOT IN (SELECT name FROM stream_catalog))")
+def creation_events(spark, d):
+    new = appending.implicit_creates(table(spark, d, "stream_catalog"), table(spark, d, "event_log"))
+    return appending.creation_events(new, NOW).select("stream", "type", top_level(json_object(F.col("data")), "name").alias("name"))
+
+
+@query("SELECT position, stream, type, version, timestamp, data FROM event_log WHERE stream IS NOT NULL AND trim(stream) <> '' AND type IS NOT NULL AND trim(type) <> ''")
+def named_events(spark, d):
+    return reads.named(table(spark, d, "event_log")).select(*_COLUMNS)

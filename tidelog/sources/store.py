@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelog.operators import appending, catalog, links, reads, retention
+from tidelog.operators import appending, catalog, links, maintenance, reads, retention
 from tidelog.schema import LOG, STREAM_DELETED, STREAMS_STREAM
 from tidelog.session import written
 from tidelog.streaming import subscriptions
@@ -27,6 +27,8 @@ class EventStore:
 
     def __init__(self, spark: SparkSession, path: str, clock: Callable[[], int] = lambda: int(time.time() * 1000)):
         self.spark, self.path, self.clock = spark, path.rstrip("/"), clock
+        self._versions: DataFrame | None = None
+        self._queries: list[StreamingQuery] = []
         if not self._exists():
             spark.createDataFrame([], LOG).write.mode("append").parquet(f"{self.path}/log")
 
@@ -128,6 +130,14 @@ class EventStore:
     def version(self, stream: str) -> int:
         return catalog.stream_version(self.log, stream).first()["version"]
 
+    def versions(self, refresh: bool = False) -> DataFrame:
+        """The current version of every stream, cached until refreshed or closed."""
+        if self._versions is None or refresh:
+            if self._versions is not None:
+                self._versions.unpersist()
+            self._versions = retention.current_versions(self.log).cache()
+        return self._versions
+
     def streams_metadata(self) -> DataFrame:
         return catalog.streams_metadata(self.catalog, self.log)
 
@@ -147,4 +157,19 @@ class EventStore:
 
     def subscribe(self, streams: list[str], callback: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
         """Push the events of some streams, also through links, to callback; see subscriptions.push()."""
-        return subscriptions.push(subscriptions.of_streams(self.stream(), streams), callback, checkpoint, self.log, once)
+        query = subscriptions.push(subscriptions.of_streams(self.stream(), streams), callback, checkpoint, self.log, once)
+        self._queries.append(query)
+        return query
+
+    def dump(self, path: str) -> None:
+        """The whole log as text lines in position order."""
+        maintenance.dump_log(reads.from_all(self.log)).write.text(path)
+
+    def close(self) -> None:
+        """Stop the subscriptions started here and drop what is cached."""
+        for query in self._queries:
+            query.stop()
+        self._queries.clear()
+        if self._versions is not None:
+            self._versions.unpersist()
+            self._versions = None
