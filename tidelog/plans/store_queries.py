@@ -12,7 +12,7 @@ from tidelog.functions.names import event_id, is_blank, is_link, is_system_name,
 from tidelog.operators import appending, catalog, chunking, links, maintenance, reads, retention
 from tidelog.plans import projections as P
 from tidelog.schema import LOG
-from tidelog.session import written
+from tidelog.session import scratch_path, written
 from tidelog.sources import adapters
 from tidelog.sources.tables import table
 from tidelog.streaming import subscriptions
@@ -495,15 +495,14 @@ def subscribe_prefix(spark, d):
 @query("SELECT DISTINCT stream, version FROM event_log WHERE starts_with(stream, 'account-') AND version IS NOT NULL")
 def subscribe_high_water(spark, d):
     """Every version once, although rows are stored and delivered again (all present files are one batch)."""
-    rows = subscriptions.above_high_water(subscriptions.of_pattern(_stream(spark, d), "account-*"))
-    return subscriptions.drained(rows, "subscribe").select("stream", "version")
+    path = scratch_path(spark, "high-water")
+    subscriptions.above_high_water(subscriptions.of_pattern(_stream(spark, d), "account-*"), path).awaitTermination()
+    return subscriptions.high_water_output(spark, path).select("stream", "version")
 
 
 @query("SELECT stream, count(*) AS n FROM event_log WHERE stream IN ('ledger-189', '_index') AND version IS NOT NULL GROUP BY stream")
 def push_batches(spark, d):
     """Pushing to a callback that counts per stream and batch."""
-    from tidelog.session import scratch_path
-
     path = scratch_path(spark, "push")
 
     def count(batch: DataFrame, number: int) -> None:

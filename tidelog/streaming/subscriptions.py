@@ -6,14 +6,12 @@ The log's folder is the source; which files were read is in the checkpoint, so a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidelog.functions.names import matches_pattern
 from tidelog.operators.links import resolve
@@ -39,27 +37,40 @@ def of_pattern(rows: DataFrame, pattern: str) -> DataFrame:
     return rows.filter(matches_pattern(F.col("stream"), pattern))
 
 
-def above_high_water(rows: DataFrame) -> DataFrame:
-    """Rows whose version exceeds every version of their stream emitted before: repeated and late versions are dropped.
+def above_high_water(rows: DataFrame, path: str, once: bool = True, every: str = "2 seconds") -> StreamingQuery:
+    """Emit rows whose version exceeds every version of their stream in earlier batches: repeats and late ones are dropped.
 
-    The state of a stream is its high-water mark. Within a batch the rows of a stream are taken by version. Rows without
-    stream or version are never emitted. The rows have the LOG columns.
+    Within a batch every (stream, version) comes once (the copy with the smallest position). Rows without stream or
+    version are never emitted. The high-water marks are a small relation beside the output: each batch joins those of the
+    batches before it, emits, and adds the marks of the streams it moved. Output and marks are written per batch number,
+    so a batch that is repeated after a failure replaces itself. high_water_output() reads what was emitted.
     """
     fields = [f.name for f in LOG]
 
-    def pick(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark = state.get[0] if state.exists else -1
-        top = mark
-        for pdf in frames:
-            new = pdf[pdf["version"] > mark].drop_duplicates("version").sort_values("version")
-            new = new[new["version"] > top] if top > mark else new
-            if len(new):
-                top = int(new["version"].iloc[-1])
-                yield new[fields]
-        state.update((top,))
-
-    clean = rows.select(*fields).filter(F.col("stream").isNotNull() & F.col("version").isNotNull())
-    return clean.groupBy("stream").applyInPandasWithState(pick, LOG, "mark int", "append", GroupStateTimeout.NoTimeout)
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kept = batch.filter(F.col("stream").isNotNull() & F.col("version").isNotNull())
+        first = kept.groupBy("stream", "version").agg(F.min(F.struct("position", *[f for f in fields if f not in ("stream", "version", "position")])).alias("r"))
+        new = first.select("stream", "version", "r.*").select(*fields)
+        if number > 0:
+            before = _marks(spark, path).filter(F.col("batch") < number).groupBy("stream").agg(F.max("mark").alias("mark"))
+            new = new.join(before, "stream", "left").filter(F.col("mark").isNull() | (F.col("version") > F.col("mark"))).drop("mark")
+        new.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        emitted = spark.read.schema(LOG).parquet(f"{path}/out/batch={number}")
+        emitted.groupBy("stream").agg(F.max("version").alias("mark")).write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+
+    writer = rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/checkpoint")
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
+    return writer.start()
+
+
+def _marks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("stream string, mark int, batch int").parquet(f"{path}/marks")
+
+
+def high_water_output(spark: SparkSession, path: str) -> DataFrame:
+    """What above_high_water() emitted into path."""
+    return spark.read.schema(StructType([*LOG.fields, StructField("batch", IntegerType())])).parquet(f"{path}/out").select(*[f.name for f in LOG])
 
 
 def push(rows: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, log: DataFrame | None = None, once: bool = True, every: str = "2 seconds") -> StreamingQuery:
