@@ -53,3 +53,9 @@ def test_all_other_characters_lie_in_exactly_one_unit(spark):
     assert [s for *_, s in sorted(by[6])] == ["One.", "Two.", "Three."]
     assert len(by[20]) == 20_000
     assert split_sentences(df.limit(0), "text", ["doc_id"]).count() == 0
+
+
+def test_texts_that_hold_placeholders(spark):
+    text = "Ab. C  d? “E. F!” says g."
+    rows = split_sentences(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text", ["doc_id"]).collect()
+    assert [r["sentence"] for r in sorted(rows)] == ["Ab.", "C  d?", "“E. F!” says g."]

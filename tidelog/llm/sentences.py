@@ -21,12 +21,13 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Placeholders (private use).
-DOT, BANG, ASK, WIDE, ELL, SEMI, BLANK, SPACE = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005", "\ue006", "\ue007"
-OPEN, CLOSE, CUT = "\ue010", "\ue011", "\ue01f"
-PLACEHOLDERS = DOT + BANG + ASK + WIDE + ELL + SEMI + BLANK + SPACE + OPEN + CLOSE + CUT
+# Placeholders (private use): one for each mark, so that they can be turned back; a sign for blank lines; signs that are
+# put between characters.
 MARKS = ".!?。！？।॥؟…;｡． "
-MASKED = DOT + BANG + ASK + WIDE * 3 + WIDE * 2 + ASK + ELL + SEMI + WIDE + DOT + SPACE
+MASKED = "".join(chr(0xE000 + i) for i in range(len(MARKS)))
+DOT, ASK, ELL, SPACE = (MASKED[MARKS.index(c)] for c in ".?… ")
+BLANK, OPEN, CLOSE, CUT = "\ue0f0", "\ue0f1", "\ue0f2", "\ue0f3"
+PLACEHOLDERS = MASKED + BLANK + OPEN + CLOSE + CUT
 
 WHITE = r"[\s\x1c-\x1f\x85\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + BLANK + "]"
 CLOSERS = "\"'”’»›)\\]）】」』〉》"
@@ -140,7 +141,7 @@ def with_brackets(text: Column) -> Column:
 
 def with_ellipses(text: Column) -> Column:
     """An ellipsis before a small letter goes on: masked."""
-    t = _sub(text, rf"\.\.\.(?=\s*{SMALL})", ELL * 3)
+    t = _sub(text, rf"\.\.\.(?=\s*{SMALL})", DOT * 3)
     return _sub(t, rf"…(?=\s*{SMALL})", ELL)
 
 
@@ -153,7 +154,7 @@ QUOTES = "|".join([
 def with_quotes(text: Column) -> Column:
     """Step 2: marks in quotations masked, and a CUT behind those that end their sentence."""
     t = _mask_spans(text, QUOTES, "“„«»「『‘\"'")
-    ends = f"[{DOT}{BANG}{ASK}{WIDE}{ELL}{SEMI}]"
+    ends = f"[{MASKED[:-1]}]"
     # reporting words first: the quotation ends the sentence, unless it goes on; Thai sentences end without a mark, so only its word for `that` tells
     body = f"[^{OPEN}{CLOSE}]*{ends}{SPACE}?[^{OPEN}{CLOSE}\\s{SPACE}]{CLOSE}"
     stays = rf"(?!\s*(?:{SMALL}|[,;:，、；：.。!?！？と]))"
@@ -169,7 +170,7 @@ def with_terminators(text: Column) -> Column:
     # full-width and Indic terminators end wherever they are; a run of marks and closers belongs together
     t = _sub(t, rf"([。！？।॥؟｡][。！？।॥؟｡!?.…]*[{CLOSERS}]*)", f"$1{CUT}")
     # ASCII terminators end before white space, other scripts and capitals
-    t = _sub(t, rf"([!?]+[!?.]*[{CLOSERS}]*)(?=[\s{BLANK}]|$|\p{{Lu}}|[^\x00-\x7f\p{{Ll}}{CUT}{DOT}{BANG}{ASK}{WIDE}{ELL}{SEMI}])", f"$1{CUT}")
+    t = _sub(t, rf"([!?]+[!?.]*[{CLOSERS}]*)(?=[\s{BLANK}]|$|\p{{Lu}}|[^\x00-\x7f\p{{Ll}}{CUT}{MASKED}])", f"$1{CUT}")
     t = _sub(t, rf"(\.(?<!\.\.)(?!\.)[{CLOSERS}]*)(?=[\s{BLANK}]|$|\p{{Lu}}[\p{{Ll}} ]|[“„«¿¡\p{{IsArabic}}\p{{IsDevanagari}}\p{{IsThai}}\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])", f"$1{CUT}")
     # the Greek question mark
     t = _sub(t, rf"([;\u037e](?<=\p{{IsGreek}}\p{{M}}{{0,2}}[;\u037e])[{CLOSERS}]*)(?=[\s{BLANK}]|$)", f"$1{CUT}")
@@ -178,12 +179,12 @@ def with_terminators(text: Column) -> Column:
     # an ellipsis behind a short opening (no more than a subject) of a script without capitals goes on, any other ends
     opening = rf"((?:^|{CUT})[\s{BLANK}]*(?:\p{{N}}+[ ]×?[ ]?)?)"
     t = _sub(t, rf"(?m){opening}((?:[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー々]\p{{M}}?){{1,8}})…", f"$1$2{ELL}")
-    t = _sub(t, rf"(?m){opening}((?:[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー々]\p{{M}}?){{1,8}})\.\.\.", f"$1$2{ELL * 3}")
+    t = _sub(t, rf"(?m){opening}((?:[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー々]\p{{M}}?){{1,8}})\.\.\.", f"$1$2{DOT * 3}")
     spaced = r"[\p{IsArabic}\p{IsDevanagari}\p{M}]+(?:[ \n][\p{IsArabic}\p{IsDevanagari}\p{M}]+){0,2}"
     t = _sub(t, rf"(?m){opening}({spaced})…", f"$1$2{ELL}")
-    t = _sub(t, rf"(?m){opening}({spaced})\.\.\.", f"$1$2{ELL * 3}")
+    t = _sub(t, rf"(?m){opening}({spaced})\.\.\.", f"$1$2{DOT * 3}")
     t = _sub(t, rf"…(?<=\p{{IsThai}}…)", ELL)
-    t = _sub(t, rf"\.\.\.(?<=\p{{IsThai}}\.\.\.)", ELL * 3)
+    t = _sub(t, rf"\.\.\.(?<=\p{{IsThai}}\.\.\.)", DOT * 3)
     t = _sub(t, rf"((?:…|\.\.\.)[….]*[{CLOSERS}]*)", f"$1{CUT}")
     # the same behind a sentence that an ellipsis ended
     short = rf"(?:(?:[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー々]\p{{M}}?){{1,8}}|{spaced})"
@@ -236,6 +237,8 @@ def split_sentences(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     The operator is a projection: no shuffle, no Python, whole texts of any length; other columns are dropped.
     """
     rows = df.filter(F.col(text).isNotNull()).select(*keys, F.col(text).alias("__text"))
+    # the original goes along only where it holds placeholders itself
+    rows = rows.withColumn("__own", F.when(F.col("__text").rlike(f"[{PLACEHOLDERS}]"), F.col("__text")))
     rows = with_boundaries(rows.withColumn("__cut", F.col("__text")), "__cut").withColumn("__pieces", F.split("__cut", CUT, -1))
     ends = F.aggregate(
         "__pieces",
@@ -243,8 +246,11 @@ def split_sentences(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
         lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))),
     )
     pieces = F.arrays_zip(F.col("__pieces").alias("p"), F.slice(ends, F.lit(1), F.size("__pieces")).alias("at"))
-    rows = rows.select(*keys, "__text", F.explode(pieces).alias("__u")).select(*keys, "__text", F.col("__u.p").alias("__p"), F.col("__u.at").alias("__at"))
-    bare = F.length(_sub(F.col("__p"), f"^{WHITE}+", ""))
-    inner = F.length(_sub(_sub(F.col("__p"), f"^{WHITE}+", ""), f"{WHITE}+$", ""))
-    rows = rows.select(*keys, "__text", (F.col("__at") + F.length("__p") - bare).cast("long").alias("start_char"), inner.alias("__n")).filter(F.col("__n") > 0)
-    return rows.select(*keys, "start_char", (F.col("start_char") + F.col("__n")).alias("end_char"), F.substring(F.col("__text"), (F.col("start_char") + 1).cast("int"), F.col("__n")).alias("sentence"))
+    rows = rows.select(*keys, "__own", F.explode(pieces).alias("__u")).select(*keys, "__own", F.col("__u.p").alias("__p"), F.col("__u.at").alias("__at"))
+    bare = _sub(F.col("__p"), f"^{WHITE}+", "")
+    rows = rows.select(*keys, "__own", "__at", F.length("__p").alias("__n"), bare.alias("__p")).select(*keys, "__own", (F.col("__at") + F.col("__n") - F.length("__p")).cast("long").alias("start_char"), _sub(F.col("__p"), f"{WHITE}+$", "").alias("__p"))
+    end = F.col("start_char") + F.length("__p")
+    # placeholders turned back; a text that held some itself is cut from the original
+    own = F.substring(F.col("__own"), (F.col("start_char") + 1).cast("int"), F.length("__p"))
+    sentence = F.when(F.col("__own").isNotNull(), own).otherwise(F.translate("__p", MASKED, MARKS))
+    return rows.filter(F.length("__p") > 0).select(*keys, "start_char", end.alias("end_char"), sentence.alias("sentence"))
