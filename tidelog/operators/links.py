@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.names import event_id, is_link, reference_stream, reference_version
 from tidelog.schema import LINK_TYPE
+from tidelog.session import written
 
 #: Links to links that are followed at most.
 MOST_HOPS = 16
@@ -39,6 +40,8 @@ def resolve(rows: DataFrame, log: DataFrame, on_missing: str = "error", most_hop
     plain = rows.filter(~F.coalesce(is_link(F.col("type")), F.lit(False)))
     out = plain.select(*columns, F.lit(None).cast("string").alias("link_stream"), F.lit(None).cast("int").alias("link_version"))
     todo = rows.filter(is_link(F.col("type"))).select(F.col("stream").alias("link_stream"), F.col("version").alias("link_version"), "data")
+    if todo.isEmpty():
+        return out  # the common case: no join at all
     targets = log.filter(F.col("stream").isNotNull() & F.col("version").isNotNull())
     for _ in range(most_hops):
         asked = todo.select("link_stream", "link_version", reference_stream(F.col("data")).alias("__s"), reference_version(F.col("data")).alias("__v"))
@@ -47,7 +50,8 @@ def resolve(rows: DataFrame, log: DataFrame, on_missing: str = "error", most_hop
         if on_missing == "error":
             text = F.concat(F.lit("no event "), F.coalesce(F.concat_ws("@", "__s", "__v"), F.lit("")))
             met = met.withColumn("stream", F.when(F.col("stream").isNull(), F.raise_error(text).cast("string")).otherwise(F.col("stream")))
-        met = met.select(*columns, "link_stream", "link_version")
+        # a hop is computed once, and the next one starts from what was written
+        met = written(met.select(*columns, "link_stream", "link_version"), "links")
         out = out.unionByName(met.filter(~F.coalesce(is_link(F.col("type")), F.lit(False))))
         todo = met.filter(is_link(F.col("type"))).select("link_stream", "link_version", "data")
         if todo.isEmpty():
