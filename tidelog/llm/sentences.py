@@ -29,7 +29,7 @@ DOT, ASK, ELL, SPACE = (MASKED[MARKS.index(c)] for c in ".?… ")
 BLANK, OPEN, CLOSE, CUT = "\ue0f0", "\ue0f1", "\ue0f2", "\ue0f3"
 PLACEHOLDERS = MASKED + BLANK + OPEN + CLOSE + CUT
 
-WHITE = r"[\s\x1c-\x1f\x85\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + BLANK + "]"
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" + BLANK
 CLOSERS = "\"'”’»›)\\]）】」』〉》"
 
 # Abbreviations with a dot after which a sentence goes on.
@@ -247,8 +247,8 @@ def split_sentences(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     )
     pieces = F.arrays_zip(F.col("__pieces").alias("p"), F.slice(ends, F.lit(1), F.size("__pieces")).alias("at"))
     rows = rows.select(*keys, "__own", F.explode(pieces).alias("__u")).select(*keys, "__own", F.col("__u.p").alias("__p"), F.col("__u.at").alias("__at"))
-    bare = _sub(F.col("__p"), f"^{WHITE}+", "")
-    rows = rows.select(*keys, "__own", "__at", F.length("__p").alias("__n"), bare.alias("__p")).select(*keys, "__own", (F.col("__at") + F.col("__n") - F.length("__p")).cast("long").alias("start_char"), _sub(F.col("__p"), f"{WHITE}+$", "").alias("__p"))
+    bare = F.ltrim(F.col("__p"), F.lit(WHITE))
+    rows = rows.select(*keys, "__own", "__at", F.length("__p").alias("__n"), bare.alias("__p")).select(*keys, "__own", (F.col("__at") + F.col("__n") - F.length("__p")).cast("long").alias("start_char"), F.rtrim(F.col("__p"), F.lit(WHITE)).alias("__p"))
     end = F.col("start_char") + F.length("__p")
     # placeholders turned back; a text that held some itself is cut from the original
     own = F.substring(F.col("__own"), (F.col("start_char") + 1).cast("int"), F.length("__p"))
