@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from tidelog import session
 from tidelog.llm import topn
 
 SCHEMA = "stream string, version int, position long, rank int, grp string, bound long"
@@ -34,8 +36,31 @@ def test_extremes_empty_and_bad_n(spark):
         topn.top_n(df, "stream", "version", "position", 0)
 
 
-def test_a_bound_is_never_above_the_nth_best(spark):
-    rows = [("hot", i * 37 % 1000, i, 0, "", 0) for i in range(1000)]
-    df = spark.createDataFrame(rows, SCHEMA).repartition(7).selectExpr("stream AS grp", "CAST(version AS LONG) AS score", "position AS tie")
-    bounds = topn.local_bounds(df, 3).collect()
-    assert bounds and all(b["score"] <= 997 for b in bounds)
+@pytest.mark.parametrize("per_partition", [3, 25, 200])
+def test_every_group_with_n_items_in_a_partition_has_a_bound(spark, per_partition):
+    rows = [("hot", i * 37 % 1000, i, 0, "", 0) for i in range(8 * per_partition)] + [("few", i, i, 0, "", 0) for i in range(2)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8).selectExpr("stream AS grp", "CAST(version AS LONG) AS score", "position AS tie")
+    tops = topn.local_tops(df, 3)
+    scores = sorted({r[1] for r in rows[: 8 * per_partition]}, reverse=True)
+    bounds = {b["grp"]: b["bound"]["score"] for b in topn.group_bounds(tops, 3).collect()}
+    assert list(bounds) == ["hot"] and bounds["hot"] <= scores[2]
+    assert tops.filter("grp = 'hot'").count() <= 8 * 3
+
+
+def test_the_buffer_is_sorted_only_when_it_has_doubled(monkeypatch):
+    monkeypatch.setattr(topn, "BUFFER_ROWS", 8)
+    sorts = []
+    real = topn._best
+    monkeypatch.setattr(topn, "_best", lambda *a: sorts.append(len(a[0])) or real(*a))
+    b = topn._Buffer(2)
+    for i in range(1000):
+        b.add(np.arange(i * 10, i * 10 + 10), np.arange(10), np.arange(10))
+    assert len(b.best()[0]) == 10_000 and sum(sorts) < 5 * 10_000
+
+
+def test_bounds_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    rnd = random.Random(7)
+    rows = [("hot" if rnd.random() < 0.6 else f"g{rnd.randrange(30)}", rnd.randrange(50), rnd.randrange(9), 9, "g", 9) for _ in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    assert sorted(map(tuple, topn.top_n(df, "stream", "version", "position", 3).collect())) == brute(rows, 3)

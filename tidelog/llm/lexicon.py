@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import heapq
 import os
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.session import local_path, shared_dir, written
+from tidelog.session import local_path, scratch_path, written
 
 #: Words of the lexicon at most: it is compiled on the driver, about 20 bytes a word.
 LEXICON_WORDS = 50_000
@@ -227,11 +226,11 @@ def build_lexicon(docs: DataFrame, text: str, vocabulary: Vocabulary, most: int
 def publish(spark: SparkSession, lexicon: dict[str, np.ndarray]) -> Callable[[], dict[str, np.ndarray]]:
     """Put the arrays where workers reach them; the result opens them: memory-mapped files of the shared folder, or, where
     that folder is no mounted path, a broadcast of the arrays (their size is bounded by LEXICON_WORDS)."""
-    place = local_path(shared_dir(spark))
-    if place is None:
+    path = scratch_path(spark, "lexicon")
+    folder = local_path(spark, path)
+    if folder is None:
         sent = spark.sparkContext.broadcast(lexicon)
         return lambda: sent.value
-    folder = os.path.join(place, f"lexicon-{uuid.uuid4().hex}")
     os.makedirs(folder)
     for name in ARRAYS:
         np.save(os.path.join(folder, f"{name}.npy"), lexicon[name])
