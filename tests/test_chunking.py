@@ -68,3 +68,31 @@ def test_ordered_offsets(spark):
         assert got[k] == total
         total += n
     assert chunking.ordered_offsets(spark.createDataFrame([], "k string, n int"), "k", "n").count() == 0
+
+
+def test_bounds_cut_evenly_whatever_the_input_partitions_hold(spark):
+    # one input partition holds nine tenths of the rows
+    df = spark.range(90_000).select((F.col("id") * 7919 % 90_000).alias("p")).coalesce(1).union(spark.range(90_000, 100_000).select(F.col("id").alias("p")).repartition(5))
+    total, bounds = chunking.order_sketch(df, F.col("p"), 20)
+    assert total == 100_000 and len(bounds) == 19
+    sizes = [r["count"] for r in chunking.with_part(df, "p", bounds, "part").groupBy("part").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2 * 5_000
+
+
+def test_parts_of_many_bounds(spark):
+    bounds = list(range(0, 5000, 7))
+    df = spark.range(-20, 5020).withColumn("p", F.when(F.col("id") % 50 != 0, F.col("id")))
+    for r in chunking.with_part(df, "p", bounds, "part").collect():
+        assert r["part"] == (0 if r["p"] is None else sum(b <= r["p"] for b in bounds))
+    doubles = chunking.with_part(spark.createDataFrame([(0.5,), (1.5,), (9.0,)], "p double"), "p", [1.0, 2.0], "part")
+    assert [r["part"] for r in doubles.orderBy("p").collect()] == [0, 1, 2]
+
+
+def test_rows_are_shuffled_once_and_a_hot_key_is_spread(spark):
+    df = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("stream"), F.col("id").cast("int").alias("version"), F.col("id").alias("position"))
+    rows = chunking._placed(df.withColumnRenamed("stream", "key"), "key", ["position", "version"], list(range(0, 40_000, 500)))
+    sizes = [r["count"] for r in rows.filter("key = 'hot'").groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    out = chunking.key_summary(df, "stream", "version", "position", parts=40)
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
