@@ -71,3 +71,49 @@ def test_runs_commit_output_and_watermark_together(spark, tmp_path):
     assert {r["commit_no"] for r in rows if r["seq"] in (18, 24)} == {3}
     with pytest.raises(RuntimeError, match="exists"):
         commits.publish(3, {})
+
+
+def test_segment_runs_take_each_change_once_and_survive_a_killed_run(spark, tmp_path, monkeypatch):
+    reported = spark.createDataFrame([(0, at(5))], "segment_no int, mark timestamp_ntz")
+    e = [(1, 0, 10, 0, at(1)), (1, 0, 11, 0, at(6)), (1, 1, 12, 0, at(3)), (2, 0, 20, 1, at(2)), (3, 0, 30, None, at(4))]
+    later = [(1, 1, 13, 0, at(8)), (2, 0, 20, 1, at(9)), (2, 1, 21, 1, at(9)), (4, 0, 40, 2, at(7))]
+    frame = lambda rows: spark.createDataFrame([(*r, "x", "y") for r in rows], ENTRIES)
+    commits = incremental.Commits(spark, f"file://{tmp_path}/runs")
+    read = lambda: sorted((r["stream"], r["version"], r["position"], r["old_position"], r["commit_no"]) for r in commits.output(incremental.CHANGED, "/changed").collect())
+    first = [(1, 0, 11, 10, 1), (2, 0, 20, None, 1), (3, 0, 30, None, 1)]
+    incremental.run_segments(frame(e), commits, reported)
+    assert read() == first
+    # a run that dies between its output and its commit leaves nothing
+    monkeypatch.setattr(incremental.Commits, "publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        incremental.run_segments(frame(e + later), commits, reported)
+    monkeypatch.undo()
+    assert read() == first
+    incremental.run_segments(frame(e + later), commits, reported)
+    second = [(1, 1, 13, 12, 2), (2, 1, 21, None, 2), (4, 0, 40, None, 2)]
+    assert read() == sorted(first + second)
+    incremental.run_segments(frame(e + later), commits, reported)  # nothing is new
+    assert read() == sorted(first + second)
+
+
+def test_a_commit_is_created_only_if_absent(spark, tmp_path):
+    commits = incremental.Commits(spark, f"file://{tmp_path}/runs")
+    commits.publish(1, {"number": 1, "folder": "a"})
+    other = incremental.Commits(spark, f"file://{tmp_path}/runs")
+    with pytest.raises(RuntimeError, match="exists"):
+        other.publish(1, {"number": 1, "folder": "b"})
+    assert [c["folder"] for c in commits.all()] == ["a"]
+    assert commits.last()["folder"] == "a"
+    commits._rename = None  # not used on a local file system
+    commits.publish(2, {"number": 2, "folder": "c"})
+    assert commits.numbers() == [1, 2]
+
+
+def test_a_small_change_to_a_large_history_shuffles_little(spark):
+    old = spark.range(200_000).select((F.col("id") % 1000).alias("stream"), (F.col("id") / 1000).cast("int").alias("version"), F.col("id").alias("position"), F.lit(0).alias("segment_no"), F.lit(at(1)).cast("timestamp_ntz").alias("written_at"))
+    new = spark.createDataFrame([(5, 5, 1, 0, at(9)), (5, 5000, 2, 0, at(9))], "stream long, version int, position long, segment_no int, written_at timestamp_ntz")
+    marks = spark.createDataFrame([(0, at(5))], "segment_no int, mark timestamp_ntz")
+    out = incremental.changed_entries(old.unionByName(new), marks)
+    assert sorted(tuple(r) for r in out.select("stream", "version", "old_position").collect()) == [(5, 5, 5005), (5, 5000, None)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan

@@ -1,3 +1,6 @@
+import pytest
+
+from tidelog import session
 from tidelog.operators import references as rf
 
 LOG = "position long, stream string, type string, version int, timestamp long, data string, status string, salt int"
@@ -25,3 +28,21 @@ def test_every_status(spark):
     days = {(r["kind"], r["day"], r["status"]): r["n_references"] for r in rf.reference_report(log).collect()}
     assert days[("link", "1970-01-02", "deleted")] == 1 and days[("link", None, "late")] == 1
     assert rf.broken_references(log.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most_bytes", [session.BROADCAST_BYTES, 0])
+def test_a_target_named_by_half_of_all_references(spark, monkeypatch, most_bytes):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", most_bytes)
+    rows = [(0, "t", "x", 0, 0, None)] + [(i, f"l{i % 50}", "_>", i, 0, "t@0" if i % 2 else f"t@{i}" if i % 3 else "gone@1") for i in range(1, 3001)]
+    rows += [(5000, "_streams", "_STREAM_CREATED", 0, 0, '{"name":"gone"}'), (5001, "_streams", "_STREAM_DELETED", 1, 0, '{"stream":"gone"}'), (5002, "gone", "x", 1, 0, None)]
+    log = spark.createDataFrame([(*r, "fine", 3) for r in rows], LOG).repartition(4)
+    got = {(r["stream"], r["version"]): (r["status"], r["target_end"]) for r in rf.judged_references(log).collect()}
+    assert len(got) == 3000
+    for i in range(1, 3001):
+        assert got[(f"l{i % 50}", i)] == (("fine", None) if i % 2 else ("missing", None) if i % 3 else ("deleted", 1))
+
+
+def test_a_flush_event_with_a_cause_and_long_positions(spark):
+    rows = [(1, "u", "_INDEX_FLUSHED", 0, 0, '{"logPosition":1,"cause":"nobody@0"}'), (2, "_index", "_INDEX_FLUSHED", 0, 0, '{"logPosition":9223372036854775807}'), (9223372036854775807, "_index", "_INDEX_FLUSHED", 1, 0, '{"logPosition":9223372036854775807}')]
+    got = {(r["stream"], r["version"], r["kind"]): r["status"] for r in rf.judged_references(spark.createDataFrame([(*r, "", 0) for r in rows], LOG)).collect()}
+    assert got == {("u", 0, "flush"): "fine", ("u", 0, "cause"): "missing", ("_index", 0, "flush"): "late", ("_index", 1, "flush"): "fine"}

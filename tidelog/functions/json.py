@@ -2,19 +2,24 @@
 
 A text counts as a JSON object only if the whole text is one valid object. Spark's path functions stop reading as soon
 as they found the key and so accept truncated texts; here the text is parsed whole into a VARIANT. Wrapping it in a list
-also rejects what follows the object. Objects with a repeated key are taken as invalid.
+also rejects what follows the object. Of a repeated key the last value counts; Spark has a session setting for that, which
+is off as it comes and is switched on here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
 WHITE = " \t\r\n"
 
 
 def json_object(text: Column) -> Column:
     """VARIANT holding a list of the one object that text is, or null if text is anything else (null and empty included)."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(REPEATED_KEYS) != "true":
+        spark.conf.set(REPEATED_KEYS, "true")
     looks = F.substring(F.ltrim(text, F.lit(WHITE)), 1, 1) == "{"
     return F.when(looks, F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
 

@@ -28,7 +28,7 @@ def event_id(stream: Column, version: Column) -> Column:
 def reference_version(text: Column) -> Column:
     """The version of `name@version`, read after the last `@`; null if it is not a whole number that fits."""
     tail = F.substring_index(text, "@", -1)
-    return F.when(text.contains("@") & tail.rlike(r"^\d{1,18}$"), tail.try_cast("int"))
+    return F.when(text.contains("@") & tail.rlike(r"^\d+$"), tail.try_cast("int"))
 
 
 def reference_stream(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.names import matches_pattern
-from tidelog.operators.changefeed import catalog_changes, current_state, split_changes
+from tidelog.operators.changefeed import catalog_changes, change_files, current_state
 from tidelog.operators.retention import current_versions
 from tidelog.schema import NO_VERSION
 
@@ -34,7 +34,7 @@ def matching_streams(catalog: DataFrame, pattern: str | None) -> DataFrame:
 
 def replay(log: DataFrame) -> DataFrame:
     """name, created, max_age, max_count of the streams that the `_streams` events leave: first creation wins, deletes end it."""
-    state = current_state(split_changes(catalog_changes(log)))
+    state = current_state(change_files(catalog_changes(log)))
     return state.select(F.col("key").alias("name"), "created", "max_age", "max_count", "permissions")
 
 

@@ -1,34 +1,74 @@
-"""Applying a change feed: inserts and equality deletes with sequence numbers.
+"""Applying a change feed: files of inserts and of equality deletes, with sequence numbers.
 
-As in merge-on-read tables, changes are never applied one after the other. Inserts (created and updated, each with the
-sequence number of its change) and deletes (key and sequence number) are appended to two separate relations. The reader
-drops every row that a delete with the same key and a later sequence number covers, by an anti-join; what is left of a
-key is its present life: the first creation in it and the updates after that.
+As in merge-on-read tables, changes are never applied one after the other. Each batch of changes is appended as files:
+inserts (created and updated, each with the sequence number of its change) apart from deletes (key and sequence number),
+both made visible by one commit. The reader takes the files of all commits and drops every row that a delete with the
+same key and a later sequence number covers, by an anti-join; what is left of a key is its present life: the first
+creation in it and the updates after that.
 
 A delete makes its key absent whether or not it existed, so the greatest delete of a key covers all the others, and the
-delete side has one row per key after a map-side aggregate. Order of arrival, repeats and re-delivery don't matter.
+delete side has one row per key after a map-side aggregate. Order of arrival, repeats and re-delivery don't matter. Joins
+go through join_by_key(), so a key with any share of the changes doesn't concentrate.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidelog.functions.json import is_object, json_object, top_level
+from tidelog.operators.incremental import Commits
 from tidelog.schema import STREAM_CREATED, STREAM_DELETED, STREAM_UPDATED, STREAMS_STREAM
+from tidelog.session import join_by_key, scratch_path, written
 
 #: Fields of a catalog change: name in the JSON text, column, type.
 FIELDS = (("hash", "hash", "long"), ("created", "created", "long"), ("maxAge", "max_age", "long"), ("maxCount", "max_count", "int"), ("state", "state", "int"), ("permissions", "permissions", "map<string,int>"))
 
 
-@dataclass(frozen=True)
 class ChangeFiles:
-    """inserts: key, seq, op (`created` or `updated`), fields. deletes: key, seq (the greatest per key)."""
-
-    inserts: DataFrame
-    deletes: DataFrame
+    """Committed change files of one table below a path: inserts (seq, op, key, fields) and equality deletes (key, seq)."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.commits = Commits(spark, path)
+        self.spark = spark
+
+    def append(self, changes: DataFrame) -> ChangeFiles:
+        """Append one batch (seq, op `created`, `updated` or `deleted`, key, fields) in any order; other operations are passed over.
+
+        One write makes the files of both kinds, one commit file makes them visible. The batch's number is that of the commit.
+        """
+        kind = F.when(F.col("op").isin("created", "updated"), "insert").when(F.col("op") == "deleted", "delete")
+        rows = changes.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+        number, folder = self.commits.next_folder()
+        rows.write.partitionBy("kind").parquet(folder)
+        self.commits.publish(number, {"number": number, "folder": folder, "schema": rows.drop("kind").schema.json()})
+        return self
+
+    def _rows(self, kind: str) -> DataFrame:
+        """The rows of one kind; of rows with the same sequence number in several batches the first batch's counts."""
+        made = self.commits.all()
+        if not made:
+            return self.spark.createDataFrame([], "seq int, op string, key string")
+        schema = StructType.fromJson(json.loads(made[-1]["schema"]))
+        folders = [f"{c['folder']}/kind={kind}" for c in made]
+        present = [f for f in folders if self.commits.exists(f)]
+        if not present:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*present)
+        if len(made) == 1:
+            return rows
+        body = F.struct(*schema.names)
+        return rows.groupBy("seq").agg(F.min_by(body, self.commits.number_of_file()).alias("b")).select("b.*")
+
+    def inserts(self) -> DataFrame:
+        return self._rows("insert")
+
+    def deletes(self) -> DataFrame:
+        """key, seq: the greatest delete of each key."""
+        return self._rows("delete").groupBy("key").agg(F.max("seq").alias("seq"))
 
 
 def catalog_changes(log: DataFrame) -> DataFrame:
@@ -50,18 +90,16 @@ def catalog_changes(log: DataFrame) -> DataFrame:
     return rows.groupBy("seq").agg(F.min_by(body, F.coalesce("position", F.lit(2**63 - 1))).alias("b")).select("seq", "b.*")
 
 
-def split_changes(changes: DataFrame) -> ChangeFiles:
-    """Separate a feed (key, seq, op, fields) into inserts and equality deletes."""
-    return ChangeFiles(
-        inserts=changes.filter(F.col("op").isin("created", "updated")),
-        deletes=changes.filter(F.col("op") == "deleted").groupBy("key").agg(F.max("seq").alias("seq")),
-    )
+def change_files(changes: DataFrame, path: str | None = None) -> ChangeFiles:
+    """The files of one batch, in a new place of the shared folder unless a path is given."""
+    spark = changes.sparkSession
+    return ChangeFiles(spark, path or scratch_path(spark, "changes")).append(changes)
 
 
 def surviving(files: ChangeFiles) -> DataFrame:
-    """Inserts that no later delete of their key covers."""
-    i, d = files.inserts.alias("i"), files.deletes.alias("d")
-    return i.join(d, (F.col("i.key") == F.col("d.key")) & (F.col("d.seq") > F.col("i.seq")), "left_anti")
+    """Inserts that no later delete of their key covers; written once."""
+    later = F.col("r.seq") > F.col("l.seq")
+    return written(join_by_key(files.inserts(), written(files.deletes(), "deletes"), ["key"], "left_anti", later), "surviving")
 
 
 def current_state(files: ChangeFiles, fields: tuple[str, ...] = tuple(c for _, c, _ in FIELDS)) -> DataFrame:
@@ -72,9 +110,10 @@ def current_state(files: ChangeFiles, fields: tuple[str, ...] = tuple(c for _, c
     """
     rows = surviving(files)
     created = F.col("op") == "created"
-    first = rows.filter(created).groupBy("key").agg(F.min("seq").alias("first_seq"))
-    # An update before the creation must not count, so the creation is joined back; both sides are keyed alike.
-    live = rows.join(first, "key").filter((created & (F.col("seq") == F.col("first_seq"))) | (~created & (F.col("seq") > F.col("first_seq"))))
+    first = written(rows.filter(created).groupBy("key").agg(F.min("seq").alias("first_seq")), "created")
+    # an update before the creation must not count, so the creation is joined back
+    live = join_by_key(rows.select("key", "seq", "op", *fields), first, ["key"], "inner")
+    live = live.filter((created & (F.col("seq") == F.col("first_seq"))) | (~created & (F.col("seq") > F.col("first_seq"))))
     return live.groupBy("key").agg(
         F.min("first_seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),

@@ -48,8 +48,20 @@ FROM w GROUP BY stream"""
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The entries added or changed since the last successful run of their segment."""
+    commits = incremental.Commits(spark, scratch_path(spark, "entry-runs"))
+    incremental.run_segments(table(spark, d, "index_entry"), commits, incremental.segment_marks(table(spark, d, "reader_run")))
+    return commits.output(incremental.CHANGED, "/changed").select("stream", "version")
+
+
+def p2_two_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two committed runs over index_entry: up to a moment, and from there to the end, with the number of the commit."""
+    entries = table(spark, d, "index_entry")
+    commits = incremental.Commits(spark, scratch_path(spark, "entry-runs"))
     marks = incremental.segment_marks(table(spark, d, "reader_run"))
-    return incremental.changed_entries(table(spark, d, "index_entry"), marks).select("stream", "version")
+    span = entries.agg(F.min("written_at").alias("a"), F.max("written_at").alias("b")).first()
+    for limit in (span["a"] + (span["b"] - span["a"]) // 2 if span["a"] else None, None):
+        incremental.run_segments(entries, commits, marks, limit)
+    return commits.output(incremental.CHANGED, "/changed").select("stream", "version", "position", "old_position", "commit_no")
 
 
 def p2_marks(spark: SparkSession, d: str) -> DataFrame:
@@ -73,13 +85,13 @@ def p2_incremental_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The streams that exist at the end and the version of the last change that took effect on each."""
-    files = changefeed.split_changes(changefeed.catalog_changes(table(spark, d, "event_log")))
-    return changefeed.current_state(files).select(F.col("key").alias("name"), F.col("last_seq").alias("last_version"))
+    files = changefeed.change_files(changefeed.catalog_changes(table(spark, d, "event_log")))
+    return changefeed.current_state(files, ()).select(F.col("key").alias("name"), F.col("last_seq").alias("last_version"))
 
 
 def p3_catalog(spark: SparkSession, d: str) -> DataFrame:
     """The catalog rebuilt from the change feed, with its fields."""
-    files = changefeed.split_changes(changefeed.catalog_changes(table(spark, d, "event_log")))
+    files = changefeed.change_files(changefeed.catalog_changes(table(spark, d, "event_log")))
     rows = changefeed.current_state(files)
     return rows.select(F.col("key").alias("name"), "first_seq", "last_seq", "hash", "created", "max_age", "max_count")
 
@@ -162,7 +174,7 @@ j AS (SELECT q.kind, q.stream, q.version, q.timestamp, CASE WHEN p.pos IS NULL T
       FROM (SELECT *, TRY_CAST(obj->>'$.logPosition' AS BIGINT) AS lp FROM o WHERE type = '_INDEX_FLUSHED') o WHERE o.lp IS NOT NULL)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_stream_summary, p1_index_summary, p2_found, p2_marks, p2_incremental_runs, p3_found, p3_catalog, p5_found, p5_features, p5_cells, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_stream_summary, p1_index_summary, p2_found, p2_two_runs, p2_marks, p2_incremental_runs, p3_found, p3_catalog, p5_found, p5_features, p5_cells, p6_found, p6_report)}
 
 ORACLE = {
     "p1_found": """
@@ -178,6 +190,16 @@ m AS (SELECT segment_no, max(ru) AS mark FROM l WHERE st = 'ok' GROUP BY 1),
 s AS (SELECT stream, version, arg_max(position, written_at) AS now, arg_max(position, written_at) FILTER (written_at <= mark) AS old
       FROM index_entry LEFT JOIN m USING (segment_no) WHERE stream IS NOT NULL AND version IS NOT NULL GROUP BY 1, 2)
 SELECT stream, version FROM s WHERE old IS NULL OR old IS DISTINCT FROM now""",
+    "p2_two_runs": """
+WITH l AS (SELECT run_id, segment_no, arg_max(lower(trim(status)), report_no) AS st, arg_max(read_until, report_no) AS ru FROM reader_run GROUP BY 1, 2),
+m AS (SELECT segment_no, max(ru) AS mark FROM l WHERE st = 'ok' GROUP BY 1),
+h AS (SELECT make_timestamp((epoch_us(min(written_at)) + epoch_us(max(written_at))) // 2) AS half FROM index_entry),
+e AS (SELECT i.*, mark, half, greatest(mark, half) AS later FROM index_entry i LEFT JOIN m USING (segment_no), h WHERE stream IS NOT NULL AND version IS NOT NULL),
+s AS (SELECT stream, version, arg_max(position, (written_at, position)) FILTER (written_at <= half) AS at_half, arg_max(position, (written_at, position)) AS now,
+             arg_max(position, (written_at, position)) FILTER (written_at <= mark) AS old, arg_max(position, (written_at, position)) FILTER (written_at <= later) AS held,
+             coalesce(bool_or(written_at > coalesce(mark, written_at - INTERVAL 1 DAY) AND written_at <= half), false) AS new1, coalesce(bool_or(written_at > later), false) AS new2 FROM e GROUP BY 1, 2)
+SELECT stream, version, at_half AS position, old AS old_position, 1 AS commit_no FROM s WHERE new1 AND (old IS NULL OR old IS DISTINCT FROM at_half)
+UNION ALL SELECT stream, version, now, held, 2 FROM s WHERE new2 AND (held IS NULL OR held IS DISTINCT FROM now)""",
     "p2_marks": """
 WITH l AS (SELECT run_id, segment_no, arg_max(lower(trim(status)), report_no) AS st, arg_max(read_until, report_no) AS ru FROM reader_run GROUP BY 1, 2)
 SELECT segment_no, epoch_us(max(ru)) AS mark_us FROM l WHERE st = 'ok' GROUP BY 1""",
