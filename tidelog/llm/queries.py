@@ -22,6 +22,14 @@ def p4_error_rates(spark: SparkSession, d: str) -> DataFrame:
     return seen.error_report(table(spark, d, "index_entry"), table(spark, d, "incoming_entry"), "stream", "arrival_no", "segment_no")
 
 
+def p4_checked_rates(spark: SparkSession, d: str) -> DataFrame:
+    """What of the report SQL can tell as well: keys, known keys, no false no, the generations and their rate, and whether
+    the false yes are at most twice what that rate lets expect (and three more, as there are few)."""
+    r = p4_error_rates(spark, d)
+    most = 3 + 2 * F.col("compounded_rate") * (F.col("n_keys") - F.col("n_known"))
+    return r.select("n_keys", "n_known", "n_false_no", "generations", "compounded_rate", (F.col("n_false_yes") <= most).alias("within"))
+
+
 # ---- 7: top N in every group
 
 
@@ -75,12 +83,19 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"), "text", ["doc_id", "lang"])
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_error_rates, p7_found, p8_ids, p9_containers, p9_unused_space, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_error_rates, p4_checked_rates, p7_found, p8_ids, p9_containers, p9_unused_space, p10_found, p10_sentences)}
 
 ORACLE = {
     "p4_found": """
 SELECT arrival_no FROM (SELECT arrival_no, stream, min(arrival_no) OVER (PARTITION BY stream) AS f FROM incoming_entry WHERE stream IS NOT NULL)
 WHERE arrival_no > f OR stream IN (SELECT stream FROM index_entry WHERE stream IS NOT NULL)""",
+    "p4_checked_rates": """
+WITH b AS (SELECT DISTINCT segment_no AS s, max(segment_no) OVER () + 1 AS n FROM index_entry WHERE stream IS NOT NULL),
+g AS (SELECT DISTINCT CASE WHEN s IS NULL OR s < 0 THEN -1 WHEN (s // 4096 + 1) * 4096 <= n THEN 3 WHEN (s // 256 + 1) * 256 <= n THEN 2 WHEN (s // 16 + 1) * 16 <= n THEN 1 ELSE 0 END AS level,
+             CASE WHEN s IS NULL OR s < 0 THEN 0 WHEN (s // 4096 + 1) * 4096 <= n THEN s // 4096 WHEN (s // 256 + 1) * 256 <= n THEN s // 256 WHEN (s // 16 + 1) * 16 <= n THEN s // 16 ELSE s END AS no FROM b),
+k AS (SELECT DISTINCT stream, stream IN (SELECT stream FROM index_entry WHERE stream IS NOT NULL) AS known FROM incoming_entry WHERE stream IS NOT NULL)
+SELECT count(*) AS n_keys, count(*) FILTER (known) AS n_known, CAST(0 AS BIGINT) AS n_false_no, CAST((SELECT count(*) FROM g) AS INTEGER) AS generations,
+       1 - (1 - pow(2.0, -16)) ** (SELECT count(*) FROM g) AS compounded_rate, true AS within FROM k""",
     "p7_found": """
 SELECT stream, version, position FROM (
   SELECT stream, version, position, row_number() OVER (PARTITION BY stream ORDER BY version DESC, position) AS r

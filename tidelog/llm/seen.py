@@ -1,35 +1,41 @@
 """Has this key been seen before? Immutable fingerprint filters for sealed batches, exact handling of the current one.
 
-Sealed keys are never kept as a set. Each generation (a range of sealed batches; a key belongs to the first one it occurs
-in) is split by hash into shards of a bounded number of keys. For a shard a 3-wise xor filter is built by peeling: slots
-that one key alone refers to are taken off wave by wave, and the fingerprints are assigned in reverse. It needs about
-1.23 x 16 bits a key, never says no to a key that it holds, and says yes to a foreign one with probability 2^-16. Filters
-are written once to the shared folder and read by every later probe.
-
-Asking G generations makes the rate 1 - (1 - 2^-16)^G. Keys of the current batch are handled exactly by their first
-arrival. Where wrong answers aren't acceptable, the few positives (never the negatives) are verified by a join.
+Sealed keys are never kept as a set. Sealed batches are grouped into generations as in a log-structured store: a batch
+that has just been sealed is a generation of its own, FAN_OUT complete neighbours become one generation of the next level,
+and so on. A generation's keys are split by hash into shards of a bounded number of keys, and for each shard a 3-wise xor
+filter is built by peeling: slots that one key alone refers to are taken off wave by wave, and the fingerprints are
+assigned in reverse. It needs about 1.23 x 16 bits a key, never says no to a key that it holds, and says yes to a foreign
+one with probability 2^-16.
+
+Filters live in a store at a fixed path and are never changed. A generation is known by its level, its number and a digest
+of what its batches hold, so a run builds only those that are absent: with one more sealed batch, its own one (or, where it
+completes a group, the group's). Asking G generations makes the rate 1 - (1 - 2^-16)^G; G grows with the logarithm of the
+number of batches. Keys of the current batch are handled exactly by their first arrival. Where wrong answers aren't
+acceptable, the keys with a yes (never those with a no) are looked up in the sealed rows, which they filter where they are
+scanned.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.session import written
+from tidelog.session import hadoop, join_by_key, shared_dir, small_side, written
 
 BITS = 16
-#: Keys of a shard, sealed or probed, about.
+#: Keys of a shard of a filter, about.
 SHARD_KEYS = 500_000
-#: Generations that the sealed batches are grouped into.
-GENERATIONS = 4
-#: A key with more than this share of the incoming rows is hot; there can't be more than its inverse of them.
-HOT_SHARE = 1 / 1000
-FILTER_SCHEMA = "generation int, shard int, n_keys long, seed long, block long, prints binary"
-PROBE_SCHEMA = "h long, hits int"
+#: Complete neighbours that make a generation of the next level.
+FAN_OUT = 16
+#: Generations that one task asks at a time: with SHARD_KEYS keys each, 64 filters have 80 MB.
+ASKED_TOGETHER = 64
+GENERATION = "level int, generation long, digest string, shards int"
+FILTERS = f"{GENERATION}, shard int, n_keys long, seed long, block long, prints binary"
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -97,106 +103,168 @@ def key_hash(key: Column) -> Column:
     return F.xxhash64(key)
 
 
-def _shard(shards: int) -> Column:
-    return F.pmod(F.xxhash64(F.col("h"), F.lit(7)), F.lit(shards)).cast("int")
+def _spread(shards: Column) -> Column:
+    """The shard of a hash: its low bits, so that a power of two of shards is refined by a greater one."""
+    return F.pmod(F.xxhash64(F.col("h"), F.lit(7)), shards).cast("int")
 
 
-def shard_count(*frames: DataFrame) -> int:
-    """Shards that keep sealed and probed keys of a shard near SHARD_KEYS, from approximate distinct counts of h."""
-    most = max(df.agg(F.approx_count_distinct("h").alias("n")).first()["n"] for df in frames)
-    return max(1, math.ceil(most / SHARD_KEYS))
+def with_generation(entries: DataFrame, key: str, batch: str, batches: int) -> DataFrame:
+    """h, level, generation of the sealed rows with a key, of batches numbered from 0 to batches - 1.
 
-
-def sealed_filters(keys: DataFrame, shards: int) -> DataFrame:
-    """Filters of keys (h, generation), written to the shared folder: one row per generation and shard."""
-    first = keys.groupBy("h").agg(F.min("generation").alias("generation")).withColumn("shard", _shard(shards))
-
-    def build(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.unique(pdf["h"].to_numpy().view(np.uint64))
-        seed, block, prints = build_filter(h)
-        return pd.DataFrame([(group[0], group[1], len(h), seed, block, prints.tobytes())], columns=["generation", "shard", "n_keys", "seed", "block", "prints"])
-
-    return written(first.groupBy("generation", "shard").applyInPandas(build, FILTER_SCHEMA), "filters")
-
-
-def probe(filters: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
-    """h and hits (bit g set: generation g says yes) of the distinct hashes of keys."""
-    asked = keys.select("h").distinct().withColumn("shard", _shard(shards))
+    A batch belongs to the largest aligned group of FAN_OUT^level batches that is complete. Rows with a null or negative
+    batch make a generation of their own (level -1).
+    """
+    at = F.col(batch).cast("long")
+    level = F.when(at.isNull() | (at < 0), -1)
+    top = 0
+    while FAN_OUT ** (top + 1) <= batches:
+        top += 1
+    for n in range(top, 0, -1):
+        level = level.when((F.floor(at / FAN_OUT**n) + 1) * FAN_OUT**n <= batches, n)
+    rows = entries.filter(F.col(key).isNotNull()).select(key_hash(F.col(key)).alias("h"), at.alias("at"), level.otherwise(0).cast("int").alias("level"))
+    size = F.pow(F.lit(float(FAN_OUT)), F.col("level"))
+    return rows.select("h", "level", F.when(F.col("level") < 0, 0).otherwise(F.floor(F.col("at") / size)).cast("long").alias("generation"))
+
+
+def generations(sealed: DataFrame, key: str, batch: str) -> tuple[int, DataFrame]:
+    """The number of batches, and level, generation, digest, shards of the generations that the sealed rows make.
+
+    The digest is made of the number of rows and of sums over the hashes of their keys, so it tells what a filter must hold
+    without the filter. One scan after that for the number of batches.
+    """
+    top = sealed.filter(F.col(key).isNotNull()).agg(F.max(batch).alias("m")).first()["m"]
+    batches = max(0, int(top) + 1 if top is not None else 0)
+    rows = with_generation(sealed, key, batch, batches)
+    low, high = F.pmod("h", F.lit(1 << 31)), F.pmod(F.xxhash64("h"), F.lit(1 << 31))
+    per = rows.groupBy("level", "generation").agg(F.concat_ws("-", F.count(F.lit(1)), F.sum(low), F.sum(high)).alias("digest"), F.approx_count_distinct("h").alias("n"))
+    shards = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / SHARD_KEYS, F.lit(1.0)))))
+    return batches, written(per.select("level", "generation", "digest", shards.cast("int").alias("shards")), "generations")
+
+
+class FilterStore:
+    """The filters of one table's sealed keys at a fixed path."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @staticmethod
+    def of_table(sealed: DataFrame, label: str = "") -> FilterStore:
+        """The store in the shared folder that belongs to the files' folder of a table."""
+        files = sealed.inputFiles()
+        place = uuid.uuid5(uuid.NAMESPACE_URL, f"{label} {files[0].rpartition('/')[0] if files else uuid.uuid4()}")
+        return FilterStore(sealed.sparkSession, f"{shared_dir(sealed.sparkSession)}/seen-filters-{place.hex}")
+
+    def filters(self) -> DataFrame:
+        """All filters of finished builds."""
+        fs, at = hadoop(self.spark, self.path)
+        runs = [s.getPath().toString() for s in fs.listStatus(at)] if fs.exists(at) else []
+        done = [r for r in runs if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{r}/_SUCCESS"))]
+        return self.spark.read.schema(FILTERS).parquet(*done) if done else self.spark.createDataFrame([], FILTERS)
+
+    def seal(self, sealed: DataFrame, key: str, batch: str) -> DataFrame:
+        """Build the filters that are absent; the filters of the generations that the sealed rows make now."""
+        batches, wanted = generations(sealed, key, batch)
+        name = ["level", "generation", "digest", "shards"]
+        have = self.filters().select(*name).distinct()
+        absent = written(wanted.join(have, name, "left_anti"), "absent")
+        if not absent.isEmpty():
+            rows = with_generation(sealed, key, batch, batches).join(F.broadcast(absent), ["level", "generation"]).distinct()
+
+            def build(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+                h = np.unique(pdf["h"].to_numpy().view(np.uint64))
+                seed, block, prints = build_filter(h)
+                return pd.DataFrame([(*group, len(h), seed, block, prints.tobytes())], columns=[*name, "shard", "n_keys", "seed", "block", "prints"])
+
+            made = rows.withColumn("shard", _spread(F.col("shards"))).groupBy(*name, "shard").applyInPandas(build, FILTERS)
+            made.write.parquet(f"{self.path}/run-{uuid.uuid4().hex}")
+        # builds at the same time may have made a filter twice
+        return self.filters().join(F.broadcast(wanted), name, "left_semi").dropDuplicates([*name, "shard"])
+
+
+def probe(filters: DataFrame, keys: DataFrame) -> DataFrame:
+    """h, hits: how many generations say yes (never fewer than hold the key) to each distinct hash of keys."""
+    shape = filters.select("level", "generation", "shards").distinct().toPandas().sort_values(["level", "generation"])
+    if shape.empty:
+        return keys.select("h").distinct().withColumn("hits", F.lit(0))
+    most = int(shape["shards"].max())
+    chunks = math.ceil(len(shape) / ASKED_TOGETHER)
+    spark = filters.sparkSession
+    numbered = [(int(r.level), int(r.generation), i % chunks) for i, r in enumerate(shape.itertuples(index=False))]
+    chunk = F.broadcast(spark.createDataFrame(numbered, "level int, generation long, chunk int"))
+    asked = keys.select("h").distinct().withColumn("bin", _spread(F.lit(most)))
+    if chunks > 1:
+        asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    else:
+        asked = asked.withColumn("chunk", F.lit(0))
+    # a filter of few shards is asked in every bin that refines its shard
+    bins = F.explode(F.sequence(F.col("shard"), F.lit(most - 1), F.col("shards")))
+    sealed = filters.join(chunk, ["level", "generation"]).withColumn("bin", bins).select("chunk", "bin", "seed", "block", "prints")
 
     def ask(sealed: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         h = pdf["h"].to_numpy().view(np.uint64)
         hits = np.zeros(len(h), np.int32)
         for f in sealed.itertuples():
-            hits |= contains(h, f.seed, f.block, np.frombuffer(f.prints, np.uint16)).astype(np.int32) << f.generation
+            hits += contains(h, f.seed, f.block, np.frombuffer(f.prints, np.uint16))
         return pd.DataFrame({"h": pdf["h"].to_numpy(), "hits": hits})
 
-    return filters.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(ask, PROBE_SCHEMA)
-
-
-def with_generation(entries: DataFrame, key: str, batch: str, generations: int = GENERATIONS) -> DataFrame:
-    """key, h, generation of the sealed rows with a key: batches in order, cut into ranges; a null batch goes to the first."""
-    top = entries.agg(F.max(batch).alias("m")).first()["m"]
-    at = F.coalesce(F.floor(F.greatest(F.col(batch), F.lit(0)) * generations / F.lit((top or 0) + 1)), F.lit(0)).cast("int")
-    return entries.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), key_hash(F.col(key)).alias("h"), at.alias("generation"))
+    one = sealed.groupBy("chunk", "bin").cogroup(asked.groupBy("chunk", "bin")).applyInPandas(ask, "h long, hits int")
+    return one.groupBy("h").agg(F.sum("hits").cast("int").alias("hits")) if chunks > 1 else one
 
 
-def probed_keys(sealed: DataFrame, incoming: DataFrame, key: str, order: str, batch: str, generations: int = GENERATIONS) -> DataFrame:
+def probed_keys(sealed: DataFrame, incoming: DataFrame, key: str, order: str, batch: str, store: FilterStore) -> DataFrame:
     """One row per distinct non-null incoming key, written to the shared folder: key, h, n, first_order, hits, known.
 
-    hits is the filters' answer (not 0: yes), known the exact one, which only the keys with a hit are verified for.
+    hits is the filters' answer (0: no), known the exact one. Keys without a hit are not known, and nothing else is asked
+    about them; the keys with a hit go to where the sealed rows are scanned.
     """
-    old = with_generation(sealed, key, batch, generations)
     new = incoming.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).alias("o"))
-    per = new.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first_order")).withColumn("h", key_hash(F.col("key")))
-    shards = shard_count(old, per)
-    filters = sealed_filters(old.select("h", "generation"), shards)
-    answered = per.join(probe(filters, per, shards), "h", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    exact = old.select("key").distinct().withColumn("there", F.lit(True))
-    yes = answered.filter(F.col("hits") != 0).join(exact, "key", "left").withColumn("known", F.coalesce("there", F.lit(False))).drop("there")
+    per = written(new.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first_order")).withColumn("h", key_hash(F.col("key"))), "asked")
+    answered = written(per.join(probe(store.seal(sealed, key, batch), per), "h", "left").withColumn("hits", F.coalesce("hits", F.lit(0))), "answered")
+    asked = small_side(answered.filter(F.col("hits") > 0).select("key"), "yes")
+    there = sealed.select(F.col(key).alias("key")).join(asked, "key", "left_semi").distinct().withColumn("there", F.lit(True))
+    yes = answered.filter(F.col("hits") > 0).join(there, "key", "left").withColumn("known", F.coalesce("there", F.lit(False))).drop("there")
     no = answered.filter(F.col("hits") == 0).withColumn("known", F.lit(False))
     return written(yes.unionByName(no).select("key", "h", "n", "first_order", "hits", "known"), "probed")
 
 
-def seen_rows(sealed: DataFrame, incoming: DataFrame, key: str, order: str, batch: str, generations: int = GENERATIONS) -> DataFrame:
+def seen_rows(sealed: DataFrame, incoming: DataFrame, key: str, order: str, batch: str, store: FilterStore | None = None) -> DataFrame:
     """Incoming rows whose non-null key is sealed or occurs in an incoming row with a smaller order: all columns of incoming.
 
-    order is unique. Empty tables on either side are allowed. Keys with more than HOT_SHARE of the rows are joined by a
-    broadcast of at most 1 / HOT_SHARE rows, the others by a shuffle, so a hot key stays where its rows are.
+    order is unique. Empty tables on either side are allowed. A hot key of the incoming rows doesn't concentrate. store:
+    where the filters are, by default the place in the shared folder that belongs to the sealed table.
     """
-    keys = probed_keys(sealed, incoming, key, order, batch, generations)
-    total = keys.agg(F.sum("n").alias("t")).first()["t"] or 0
-    answer = keys.filter(F.col("known") | (F.col("n") > 1)).select("key", "first_order", "known", (F.col("n") > total * HOT_SHARE).alias("hot"))
+    keys = probed_keys(sealed, incoming, key, order, batch, store or FilterStore.of_table(sealed))
+    answer = keys.filter(F.col("known") | (F.col("n") > 1)).select("key", "first_order", "known")
     # the row's own columns are kept apart, so that their names can't clash
     rows = incoming.filter(F.col(key).isNotNull()).select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(order).alias("o"))
-    hot = F.broadcast(answer.filter("hot").drop("hot"))
-    cold = answer.filter("NOT hot").drop("hot")
-    wanted = F.col("known") | (F.col("o") > F.col("first_order"))
-    one = rows.join(hot, "key").filter(wanted).select("row.*")
-    rest = rows.join(hot, "key", "left_anti").join(cold, "key").filter(wanted).select("row.*")
-    return one.unionByName(rest)
+    met = join_by_key(rows, answer, ["key"], "inner")
+    return met.filter(F.col("known") | (F.col("o") > F.col("first_order"))).select("row.*")
 
 
-def error_report(sealed: DataFrame, incoming: DataFrame, key: str, order: str, batch: str, generations: int = GENERATIONS) -> DataFrame:
+def error_report(sealed: DataFrame, incoming: DataFrame, key: str, order: str, batch: str, store: FilterStore | None = None) -> DataFrame:
     """One row: keys asked, filter answers and the rates of wrong ones, measured and compounded over the generations.
 
-    n_keys, n_yes, n_known, n_false_yes, n_false_no (always 0), measured_rate (false among the unknown), generations,
-    rate_of_one (2^-16) and compounded_rate.
+    n_keys, n_known, n_false_no (always 0), n_false_yes, measured_rate (false among the unknown), generations (of the
+    sealed rows), rate_of_one (2^-16) and compounded_rate. Whether a key is known is looked up for all keys here, not only
+    for those with a hit.
     """
-    keys = probed_keys(sealed, incoming, key, order, batch, generations)
-    yes = F.col("hits") != 0
-    exact = with_generation(sealed, key, batch, generations).select("key").distinct().withColumn("there", F.lit(True))
+    store = store or FilterStore.of_table(sealed)
+    keys = probed_keys(sealed, incoming, key, order, batch, store)
+    asked = small_side(keys.select("key"), "asked")
+    exact = sealed.select(F.col(key).alias("key")).join(asked, "key", "left_semi").distinct().withColumn("there", F.lit(True))
+    yes = F.col("hits") > 0
     full = keys.join(exact, "key", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    n = store.seal(sealed, key, batch).select("level", "generation").distinct().count()
     one = 2.0**-BITS
     return full.agg(
         F.count(F.lit(1)).alias("n_keys"),
-        F.count_if(yes).alias("n_yes"),
         F.count_if("there").alias("n_known"),
-        F.count_if(yes & ~F.col("there")).alias("n_false_yes"),
         F.count_if(~yes & F.col("there")).alias("n_false_no"),
+        F.count_if(yes & ~F.col("there")).alias("n_false_yes"),
     ).select(
         "*",
         F.try_divide("n_false_yes", F.col("n_keys") - F.col("n_known")).alias("measured_rate"),
-        F.lit(generations).alias("generations"),
+        F.lit(n).alias("generations"),
         F.lit(one).alias("rate_of_one"),
-        F.lit(1 - (1 - one) ** generations).alias("compounded_rate"),
+        F.lit(1 - (1 - one) ** n).alias("compounded_rate"),
     )
