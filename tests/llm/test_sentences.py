@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tidelog.llm.sentences import split_sentences
@@ -59,3 +61,32 @@ def test_texts_that_hold_placeholders(spark):
     text = "Ab. C  d? “E. F!” says g."
     rows = split_sentences(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text", ["doc_id"]).collect()
     assert [r["sentence"] for r in sorted(rows)] == ["Ab.", "C  d?", "“E. F!” says g."]
+
+
+def units_of(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [[] for _ in texts]
+    for r in split_sentences(df, "text", ["doc_id"]).collect():
+        out[r["doc_id"]].append((r["start_char"], r["sentence"]))
+    return [[s for _, s in sorted(x)] for x in out]
+
+
+def test_no_number_of_things_changes_a_rule(spark):
+    many = "'" + "It's. " * 200 + "so' he said. Next."
+    thai = "นี่คือบ้านของเรา " + "และสวนของเราอยู่ข้างบ้าน " * 150 + "เมื่อวานนี้ฝนตกหนักมากทั้งวันทั้งคืน"
+    brackets = "A (" + "b. " * 3000 + ") c. Next."
+    got = units_of(spark, many, thai, brackets, "«" + "Oui. " * 5000 + "» dit-il. Fin.")
+    assert got[0] == [many[:-6], "Next."]
+    assert got[1] == [thai.rpartition(" ")[0], thai.rpartition(" ")[2]]
+    assert got[2] == [brackets[:-6], "Next."]
+    assert len(got[3]) == 2
+
+
+def test_work_is_in_proportion_to_the_text(spark):
+    parts = ["One is here. ", "ก" * 30 + " และ" + "ข" * 10 + " ", "'tis don't ", "“a. ", "(b. ", "J. K. ", "老桥...", "x? "]
+    took = {}
+    for size in (4_000, 32_000):
+        began = time.time()
+        units_of(spark, *[p * (size // len(p)) * 8 for p in parts])
+        took[size] = time.time() - began
+    assert took[32_000] < 8 * 3 * max(took[4_000], 1.0), took
