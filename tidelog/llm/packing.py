@@ -14,6 +14,7 @@ import bisect
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as Over
 from pyspark.sql import functions as F
@@ -24,23 +25,20 @@ from tidelog.session import small_side, written
 WINDOWS = 64
 #: Partitions whose open containers one task merges.
 MERGE_PARTITIONS = 1024
-PLACED = "kind int, item long, piece int, size int, container string, full boolean"
+PLACED = "kind int, item long, piece int, size int, part int, number int, full boolean"
 MERGED = "kind int, container string, size int, into string, room int"
 
 
 class Window:
     """The open containers of one kind: best fit by remaining room, at most `most` of them."""
 
-    def __init__(self, capacity: int, most: int, label: str):
-        self.capacity, self.most, self.label = capacity, most, label
+    def __init__(self, capacity: int, most: int):
+        self.capacity, self.most = capacity, most
         self.open: list[tuple[int, int]] = []  # room, number; ascending
         self.opened = 0
 
-    def name(self, number: int) -> str:
-        return f"{self.label}-{number}"
-
-    def place(self, size: int) -> str:
-        """Put an item of at most the capacity; its container's name."""
+    def place(self, size: int) -> int:
+        """Put an item of at most the capacity; its container's number."""
         at = bisect.bisect_left(self.open, (size, -1))
         if at < len(self.open):
             room, number = self.open.pop(at)
@@ -51,12 +49,12 @@ class Window:
                 self.open.pop(0)  # the fullest is emitted
         if room > size:
             bisect.insort(self.open, (room - size, number))
-        return self.name(number)
+        return number
 
-    def place_whole(self) -> str:
+    def place_whole(self) -> int:
         """Fill a container of its own."""
         self.opened += 1
-        return self.name(self.opened - 1)
+        return self.opened - 1
 
 
 def pieces(size: int, capacity: int) -> list[int]:
@@ -71,30 +69,44 @@ def place_items(items: DataFrame, capacities: dict[int, int], windows: int = WIN
     kind, item, piece (from 0), size, container, full (the container takes part in no merge).
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        window = {k: Window(c, windows, f"{k}-{part}") for k, c in capacities.items()}
+        window = {k: Window(c, windows) for k, c in capacities.items()}
         # a row is held back while its container is open
-        waiting: dict[str, list[tuple]] = {}
+        waiting: dict[tuple[int, int], list[tuple]] = {}
+
+        def batch_of(rows: list[tuple], full: bool) -> pa.RecordBatch:
+            kind, item, piece, size, number = map(list, zip(*rows))
+            n = len(rows)
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+            columns = (kind, item, piece, size, [part] * n, number, [full] * n)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["kind", "item", "piece", "size", "part", "number", "full"])
+
         for batch in batches:
             done = []
-            for kind, item, size in batch.itertuples(index=False, name=None):
+            for kind, item, size in zip(*(c.to_pylist() for c in batch.columns)):
                 w = window[kind]
-                for n, s in enumerate(pieces(size, w.capacity)):
+                if size < w.capacity:
+                    n = w.place(size)
+                    waiting.setdefault((kind, n), []).append((kind, item, 0, size, n))
+                    continue
+                for i, s in enumerate(pieces(size, w.capacity)):
                     if s == w.capacity:
-                        done.append((kind, item, n, s, w.place_whole(), True))
+                        done.append((kind, item, i, s, w.place_whole()))
                     else:
-                        waiting.setdefault(w.place(s), []).append((kind, item, n, s))
-            alive = {w.name(number) for w in window.values() for _, number in w.open}
+                        n = w.place(s)
+                        waiting.setdefault((kind, n), []).append((kind, item, i, s, n))
+            alive = {(k, number) for k, w in window.items() for _, number in w.open}
             for c in [c for c in waiting if c not in alive]:
-                done += [(*row, c, True) for row in waiting.pop(c)]
+                done += waiting.pop(c)
             if done:
-                yield pd.DataFrame(done, columns=["kind", "item", "piece", "size", "container", "full"])
-        rest = [(*row, c, False) for c, rows in waiting.items() for row in rows]
+                yield batch_of(done, True)
+        rest = [row for rows in waiting.values() for row in rows]
         if rest:
-            yield pd.DataFrame(rest, columns=["kind", "item", "piece", "size", "container", "full"])
+            yield batch_of(rest, False)
 
-    return written(items.select("kind", "item", "size").mapInPandas(run, PLACED), "placed")
+    placed = items.select(F.col("kind").cast("int"), F.col("item").cast("long"), F.col("size").cast("int")).mapInArrow(run, PLACED)
+    return written(placed.select("kind", "item", "piece", "size", F.concat_ws("-", "kind", "part", "number").alias("container"), "full"), "placed")
 
 
 def _merged(bins: DataFrame, capacities: dict[int, int], by: str) -> DataFrame:
@@ -141,8 +153,10 @@ def pack(items: DataFrame, capacities: dict[int, int], windows: int = WINDOWS) -
     """
     sized = items.select("kind", "item", F.coalesce("size", F.lit(0)).alias("size"))
     placed = place_items(sized.filter(F.col("size") > 0), capacities, windows)
-    merged = placed.join(small_side(merge_open(placed, capacities, windows), "merges"), ["kind", "container"], "left")
-    out = merged.select("kind", "item", "piece", "size", F.coalesce("into", "container").alias("container"))
+    # only what was open at the end of a partition takes part in the merge
+    merges = small_side(merge_open(placed, capacities, windows), "merges")
+    still = placed.filter(~F.col("full")).join(merges, ["kind", "container"], "left").withColumn("container", F.coalesce("into", "container"))
+    out = placed.filter("full").unionByName(still.drop("into")).select("kind", "item", "piece", "size", "container")
     nothing = sized.filter(F.col("size") <= 0).select("kind", "item", F.lit(0).alias("piece"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("container"))
     return out.unionByName(nothing)
 
@@ -160,15 +174,40 @@ def unused_space(packed: DataFrame, capacities: dict[int, int]) -> DataFrame:
 def token_counts(docs: DataFrame, item: str, text: str, tokenizers: list[str], folder: str | None = None) -> DataFrame:
     """item, tokenizer, size: tokens of every non-null text by each public tokenizer (no special tokens; empty text: 0)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counters = {name: counter(name, folder) for name in tokenizers}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = [counter(name, folder) for name in tokenizers]
         for batch in batches:
-            texts = batch["text"].tolist()
-            for name, count in counters.items():
-                yield pd.DataFrame({"item": batch["item"], "tokenizer": name, "size": count(texts)})
-
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(item).alias("item"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "item long, tokenizer string, size int")
+            # slices by bytes, so that what a tokenizer gives is never large
+            for part in _slices(batch):
+                texts = part.column(1).to_pylist()
+                sizes = pa.array([list(x) for x in zip(*(count(texts) for count in counters))], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes], ["item", "sizes"])
+
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).alias("text"))
+    counted = rows.mapInArrow(run, "item long, sizes array<int>")
+    names = F.array(*[F.lit(t) for t in tokenizers])
+    each = F.arrays_zip(names.alias("tokenizer"), F.col("sizes").alias("size"))
+    return counted.select("item", F.inline(each)).select("item", "tokenizer", "size")
+
+
+#: Bytes of text that a worker hands to a tokenizer at a time, about.
+SLICE_BYTES = 8 << 20
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch (item, text) in slices of about SLICE_BYTES of text; a longer text is a slice of its own."""
+    size = batch.column(1).nbytes
+    if size <= SLICE_BYTES or batch.num_rows <= 1:
+        yield batch
+        return
+    lengths = pa.compute.binary_length(batch.column(1)).to_pylist()
+    at, held = 0, 0
+    for i, n in enumerate(lengths):
+        if held and held + n > SLICE_BYTES:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    yield batch.slice(at)
 
 
 def counter(name: str, folder: str | None = None):

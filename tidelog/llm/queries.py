@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import lexicon, packing, seen, sentences, topn
+from tidelog.session import written
 from tidelog.sources.tables import table
 
 # ---- 4: has this key been seen before?
@@ -52,7 +53,8 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, dict[int, int]]:
     """Every text packed into every kind of container, and the kinds' capacities (container_kind is a fixed table of three)."""
     kinds = table(spark, d, "container_kind").select("container_no", "tokenizer", "capacity").collect()
-    sizes = packing.token_counts(table(spark, d, "documents"), "doc_id", "text", sorted({k["tokenizer"] for k in kinds}))
+    # counted once: items without tokens are picked out apart from the others
+    sizes = written(packing.token_counts(table(spark, d, "documents"), "doc_id", "text", sorted({k["tokenizer"] for k in kinds})), "tokens")
     which = spark.createDataFrame([(k["container_no"], k["tokenizer"]) for k in kinds], "kind int, tokenizer string")
     capacities = {k["container_no"]: k["capacity"] for k in kinds}
     return packing.pack(sizes.join(F.broadcast(which), "tokenizer").select("kind", "item", "size"), capacities), capacities
@@ -70,6 +72,19 @@ def p9_unused_space(spark: SparkSession, d: str) -> DataFrame:
     return packing.unused_space(packed, capacities).withColumnRenamed("kind", "container_no")
 
 
+def p9_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What of the containers doesn't depend on how they are filled: every text is whole in one container or, if it exceeds
+    the capacity, in the least number of pieces; no container is over its capacity."""
+    packed, capacities = _packed(spark, d)
+    packed = written(packed, "packed")
+    caps = spark.createDataFrame(sorted(capacities.items()), "kind int, capacity int")
+    per = packed.groupBy("kind", "item").agg(F.sum("size").alias("size"), F.count("container").alias("n")).join(F.broadcast(caps), "kind")
+    texts = per.groupBy("kind").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.when(F.col("n") == F.ceil(F.col("size") / F.col("capacity")), 0).otherwise(1)).alias("n_split_wrongly"))
+    used = packed.filter(F.col("container").isNotNull()).groupBy("kind", "container").agg(F.sum("size").alias("used")).join(F.broadcast(caps), "kind")
+    over = used.groupBy("kind").agg(F.count_if(F.col("used") > F.col("capacity")).alias("n_over"))
+    return texts.join(over, "kind", "left").select(F.col("kind").alias("container_no"), "n_texts", "n_split_wrongly", F.coalesce("n_over", F.lit(0)).cast("long").alias("n_over"))
+
+
 # ---- 10: sentences
 
 
@@ -83,7 +98,7 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"), "text", ["doc_id", "lang"])
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_error_rates, p4_checked_rates, p7_found, p8_ids, p9_containers, p9_unused_space, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_error_rates, p4_checked_rates, p7_found, p8_ids, p9_containers, p9_unused_space, p9_totals, p10_found, p10_sentences)}
 
 ORACLE = {
     "p4_found": """
@@ -96,6 +111,8 @@ g AS (SELECT DISTINCT CASE WHEN s IS NULL OR s < 0 THEN -1 WHEN (s // 4096 + 1)
 k AS (SELECT DISTINCT stream, stream IN (SELECT stream FROM index_entry WHERE stream IS NOT NULL) AS known FROM incoming_entry WHERE stream IS NOT NULL)
 SELECT count(*) AS n_keys, count(*) FILTER (known) AS n_known, CAST(0 AS BIGINT) AS n_false_no, CAST((SELECT count(*) FROM g) AS INTEGER) AS generations,
        1 - (1 - pow(2.0, -16)) ** (SELECT count(*) FROM g) AS compounded_rate, true AS within FROM k""",
+    "p9_totals": """
+SELECT container_no, count(text) AS n_texts, CAST(0 AS BIGINT) AS n_split_wrongly, CAST(0 AS BIGINT) AS n_over FROM container_kind, documents WHERE text IS NOT NULL GROUP BY container_no""",
     "p7_found": """
 SELECT stream, version, position FROM (
   SELECT stream, version, position, row_number() OVER (PARTITION BY stream ORDER BY version DESC, position) AS r
