@@ -71,3 +71,14 @@ def test_counts_cover_all_documents(spark):
     docs = spark.createDataFrame([("a a b",), ("a",), (None,), ("c" * 100,)], "text string").repartition(2)
     assert {bytes(r["word"]): r["n"] for r in lx.count_words(docs, "text", V).collect()} == {b"a": 2, b" a": 1, b" b": 1}
     assert docs.select(F.sum(F.length("text"))).first()[0] == 106
+
+
+def test_slices_hold_every_row_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lx, "SLICE_BYTES", 10)
+    texts = ["a" * 4, None, "b" * 7, "", "c" * 30, "d", "e" * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["k", "t"])
+    parts = list(lx.text_slices(batch, 1))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts
+    assert [p.num_rows for p in parts] == [2, 2, 1, 1, 1]

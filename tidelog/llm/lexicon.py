@@ -178,6 +178,26 @@ def _words(texts: list, pattern) -> tuple[list[str], np.ndarray]:
     return [w for p in per for w in p], np.fromiter(map(len, per), np.int64, len(per))
 
 
+#: Bytes of text that a worker cuts or encodes at a time, about.
+SLICE_BYTES = 8 << 20
+
+
+def text_slices(batch: pa.RecordBatch, at_column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SLICE_BYTES of the text column; a longer text is a slice of its own."""
+    texts = batch.column(at_column)
+    if texts.nbytes <= SLICE_BYTES or batch.num_rows <= 1:
+        yield batch
+        return
+    lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    at, held = 0, 0
+    for i, n in enumerate(lengths):
+        if held and held + n > SLICE_BYTES:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    yield batch.slice(at)
+
+
 def count_words(docs: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
     """word (bytes), n over all documents; partly counted in each task before the shuffle. Long words aren't counted."""
     pattern = vocabulary.pattern
@@ -186,8 +206,8 @@ def count_words(docs: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame
         import regex
 
         cut = regex.compile(pattern)
-        for batch in batches:
-            words, _ = _words(batch.column(0).to_pylist(), cut)
+        for part in (p for batch in batches for p in text_slices(batch, 0)):
+            words, _ = _words(part.column(0).to_pylist(), cut)
             found = pa.array(words, pa.string()).value_counts()
             n = found.field("counts")
             values = found.field("values").cast(pa.binary())
@@ -256,7 +276,7 @@ def encode(docs: DataFrame, keys: list[str], text: str, vocabulary: Vocabulary,
 
         cut, lexicon, ranks = regex.compile(pattern), opened(), None
         memo: dict[bytes, list[int]] = {}
-        for batch in batches:
+        for batch in (p for b in batches for p in text_slices(b, n_keys)):
             words, per = _words(batch.column(n_keys).to_pylist(), cut)
             coded = pa.array(words, pa.large_string()).dictionary_encode()
             unique = coded.dictionary.cast(pa.large_binary())

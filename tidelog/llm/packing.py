@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as Over
 from pyspark.sql import functions as F
 
+from tidelog.llm.lexicon import text_slices
 from tidelog.session import small_side, written
 
 #: Open containers per kind and partition.
@@ -178,7 +179,7 @@ def token_counts(docs: DataFrame, item: str, text: str, tokenizers: list[str], f
         counters = [counter(name, folder) for name in tokenizers]
         for batch in batches:
             # slices by bytes, so that what a tokenizer gives is never large
-            for part in _slices(batch):
+            for part in text_slices(batch, 1):
                 texts = part.column(1).to_pylist()
                 sizes = pa.array([list(x) for x in zip(*(count(texts) for count in counters))], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), sizes], ["item", "sizes"])
@@ -190,26 +191,6 @@ def token_counts(docs: DataFrame, item: str, text: str, tokenizers: list[str], f
     return counted.select("item", F.inline(each)).select("item", "tokenizer", "size")
 
 
-#: Bytes of text that a worker hands to a tokenizer at a time, about.
-SLICE_BYTES = 8 << 20
-
-
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch (item, text) in slices of about SLICE_BYTES of text; a longer text is a slice of its own."""
-    size = batch.column(1).nbytes
-    if size <= SLICE_BYTES or batch.num_rows <= 1:
-        yield batch
-        return
-    lengths = pa.compute.binary_length(batch.column(1)).to_pylist()
-    at, held = 0, 0
-    for i, n in enumerate(lengths):
-        if held and held + n > SLICE_BYTES:
-            yield batch.slice(at, i - at)
-            at, held = i, 0
-        held += n
-    yield batch.slice(at)
-
-
 def counter(name: str, folder: str | None = None):
     """A function from texts to their numbers of tokens. folder: where the vocabulary files are, or None for the package."""
     import os
