@@ -33,6 +33,8 @@ def test_equals_sequential_application(spark):
     state, ever = apply(changes)
     got = cf.current_state(cf.change_files(df), ("max_age",)).collect()
     assert {r["key"]: [r["first_seq"], r["last_seq"], r["max_age"]] for r in got} == state
+    lazily = cf.state_of(df, ("max_age",)).collect()
+    assert {r["key"]: [r["first_seq"], r["last_seq"], r["max_age"]] for r in lazily} == state
     lives = {r["key"]: r["valid_to"] for r in cf.lifetimes(df).collect()}
     assert set(lives) == ever
     assert {k for k, to in lives.items() if to is None} == set(state)

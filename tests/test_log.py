@@ -77,8 +77,23 @@ def test_links(spark):
     made = links.link_to(df.filter("stream = 'l' OR position = 2"), "z").collect()
     assert {r["data"] for r in made} == {"a@b@1", "a@b@9", "a@b@2"}
     loop = log(spark, [(1, "p", "_>", 0, 0, "q@0"), (2, "q", "_>", 0, 0, "p@0")])
-    with pytest.raises(ValueError, match="hops"):
-        links.resolve(loop, loop, most_hops=3)
+    with pytest.raises(Exception, match="go round"):
+        links.resolve(loop, loop).collect()
+    assert links.resolve(loop, loop, "drop").count() == 0
+
+
+def test_a_chain_of_forty_links_and_a_long_circle(spark):
+    chain = [(0, "c", "t", 0, 0, "end")] + [(i, "c", "_>", i, 0, f"c@{i - 1}") for i in range(1, 41)]
+    circle = [(100 + i, "r", "_>", i, 0, f"r@{(i + 1) % 5}") for i in range(5)] + [(110, "into", "_>", 0, 0, "r@3")]
+    df = log(spark, chain + circle).coalesce(1).cache()
+    got = links.resolve(df.filter("stream IN ('into', 'r') OR version IN (1, 40)"), df, "drop").collect()
+    assert sorted((r["link_stream"], r["link_version"], r["data"]) for r in got) == [("c", 1, "end"), ("c", 40, "end")]
+
+
+def test_repeated_names_in_a_catalog(spark):
+    c = spark.createDataFrame([("a", 1, 5, 2), ("a", 2, -1, 3), ("a", 2, 9, 3), ("a", None, 1, 1), ("b", None, None, -1)], "name string, created long, max_age long, max_count int")
+    got = {r["name"]: (r["created"], r["max_age"], r["max_count"]) for r in retention.one_per_name(c).collect()}
+    assert got == {"a": (2, 9, 3), "b": (None, None, -1)}
 
 
 def test_link_retention_goes_by_the_link(spark):

@@ -35,12 +35,13 @@ def test_store_round_trip(spark, store):
     assert store.get("l", 1).first()["version"] == 2
     store.emit("copy", store.log.filter("stream = 'b'"))
     assert store.from_stream("copy").first()["data"] == "2"
-    store.create_stream("short", max_count=1)
-    with pytest.raises(ValueError, match="exists"):
-        store.create_stream("short")
+    store.create_stream("short", max_count=1, permissions={"ann": 1, "bob": 2}, metadata={"owner": "ann"})
+    store.create_stream("short", max_count=7)  # the first creation counts
+    store.update_stream("short", max_age=99)
     store.append(events(spark, ("short", "t", "x"), ("short", "t", "y")))
     assert [r["data"] for r in store.from_stream("short").collect()] == ["y"]
-    assert {r["name"]: r["version"] for r in store.streams_metadata().collect()}["short"] == 1
+    short = {r["name"]: r for r in store.streams_metadata().collect()}["short"]
+    assert (short["version"], short["max_count"], short["max_age"], short["permissions"], short["metadata"]) == (1, 1, 99, {"ann": 1, "bob": 2}, {"owner": "ann"})
     store.delete_stream("b")
     assert store.stream_metadata("b").count() == 0
     assert store.from_all(backward=True).first()["type"] == "_STREAM_DELETED"
@@ -110,3 +111,46 @@ def test_ordered_folds(spark):
     registry = P.Registry()
     registry.add("n", lambda df: P.Projection(df).when({P.ANY: {"n": P.count()}}).single())
     assert registry.names() == ["n"] and registry.run("n", log(spark)).first()["n"] == 7
+
+
+def test_flush_events_and_versions_without_a_scan_of_the_log(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    store = EventStore(spark, path, clock=lambda: 1000, flush_entries=1000)
+    many = spark.range(2500).select((F.col("id") % 7).cast("string").alias("stream"), F.lit("t").alias("type"), F.col("id").cast("string").alias("data"), F.lit(None).cast("string").alias("metadata"), F.col("id").alias("ordinal"))
+    store.append(many)
+    flushes = [json.loads(r["data"]) for r in store.log.filter("type = '_INDEX_FLUSHED'").orderBy("position").collect()]
+    assert [(f["logPosition"], f["entries"]) for f in flushes] == [(999, 1000), (1999, 1000)]
+    again = EventStore(spark, path, clock=lambda: 2000, flush_entries=1000)
+    assert again._index.last()["position"] == 1999
+    again.append(many.limit(1).withColumn("stream", F.lit("3")), expected={"3": 356})
+    assert again.version("3") == 357
+    tail, flushed, at = again._tail()
+    assert tail.count() == again.log.count() - 2000 and flushed.count() == 8
+    assert {r["stream"]: r["version"] for r in again.versions().collect()} == {r["stream"]: r["v"] for r in again.log.groupBy("stream").agg(F.max("version").alias("v")).collect()}
+    # versions stay dense, and no position is given twice
+    assert again.log.groupBy("stream").agg((F.max("version") + 1 == F.count_distinct("version")).alias("ok")).filter("NOT ok").count() == 0
+    assert again.log.count() == again.log.select("position").distinct().count()
+    with pytest.raises(ValueError, match="at least"):
+        EventStore(spark, path, flush_entries=10)
+
+
+def test_handlers_emit_and_link(spark, store):
+    store.append(events(spark, ("a", "x", "1"), ("a", "y", "2"), ("b", "x", "3"), ("a", "x", "4")))
+
+    def on_x(state, event, out):
+        out.emit("xs", event)
+        out.link_to("links", event)
+        return {"n": state["n"] + 1}
+
+    got = {r["stream"]: json.loads(r["state"])["n"] for r in store.project(["a", "b"], {"n": 0}, {"x": on_x}).collect()}
+    assert got == {"a": 2, "b": 1}
+    assert [(r["version"], r["data"]) for r in store.from_stream("xs").collect()] == [(0, "1"), (1, "3"), (2, "4")]
+    assert [(r["stream"], r["version"], r["link_version"]) for r in store.from_stream("links").collect()] == [("a", 0, 0), ("b", 0, 1), ("a", 2, 2)]
+
+
+def test_subscribing_to_all_resolves_links(spark, store, tmp_path):
+    store.append(events(spark, ("a", "t", "1")))
+    store.link_to("l", store.log.filter("stream = 'a'"))
+    got = []
+    store.subscribe_all(lambda batch, n: got.extend((r["link_stream"], r["stream"]) for r in batch.collect()), f"file://{tmp_path}/all").awaitTermination()
+    assert sorted(got, key=str) == sorted([("l", "a"), (None, "a"), (None, "_streams"), (None, "_streams")], key=str)

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.names import matches_pattern
-from tidelog.operators.changefeed import catalog_changes, change_files, current_state
-from tidelog.operators.retention import current_versions
+from tidelog.operators.changefeed import catalog_changes, state_of
+from tidelog.operators.retention import current_versions, one_per_name
 from tidelog.schema import NO_VERSION
 
 
 def streams_metadata(catalog: DataFrame, log: DataFrame) -> DataFrame:
-    """Every catalog row with its stream's current version (-1 without events), without the state."""
+    """Every stream of the catalog with its current version (-1 without events), without the state; one row per name."""
+    catalog = one_per_name(catalog)
     versions = current_versions(log).withColumnRenamed("stream", "name")
     return catalog.drop("state").join(versions, "name", "left").withColumn("version", F.coalesce("version", F.lit(NO_VERSION)))
 
@@ -33,9 +34,9 @@ def matching_streams(catalog: DataFrame, pattern: str | None) -> DataFrame:
 
 
 def replay(log: DataFrame) -> DataFrame:
-    """name, created, max_age, max_count of the streams that the `_streams` events leave: first creation wins, deletes end it."""
-    state = current_state(change_files(catalog_changes(log)))
-    return state.select(F.col("key").alias("name"), "created", "max_age", "max_count", "permissions")
+    """name, created, max_age, max_count, state, permissions, metadata of the streams that the `_streams` events leave: first creation wins, deletes end it."""
+    state = state_of(catalog_changes(log))
+    return state.select(F.col("key").alias("name"), "created", "max_age", "max_count", F.coalesce("state", F.lit(0)).alias("state"), "permissions", "metadata")
 
 
 def has_permission(catalog: DataFrame, user: str, permission: int) -> DataFrame:

@@ -34,7 +34,7 @@ def from_stream(log: DataFrame, catalog: DataFrame, stream: str, now_ms: int, ve
     if version < 0:
         raise ValueError("version must not be negative")
     own = log.filter(F.col("stream") == stream)
-    kept = retained(own, catalog.filter(F.col("name") == stream), now_ms).filter(F.col("version") >= version)
+    kept = retained(own, catalog.filter(F.col("name") == stream), now_ms, few=True).filter(F.col("version") >= version)
     return resolve(kept, log, on_missing).orderBy(F.coalesce("link_version", "version"))
 
 
@@ -42,7 +42,7 @@ def zip_streams(log: DataFrame, catalog: DataFrame, streams: list[str], now_ms:
     """Several streams merged by position. Blank names are dropped, repeated ones count once; max-age only, no max-count."""
     names = sorted({s for s in streams if s and s.strip()})
     rows = log.filter(F.col("stream").isin(names)) if names else log.limit(0)
-    return resolve(max_age(rows, catalog.filter(F.col("name").isin(names)) if names else catalog, now_ms), log, on_missing).orderBy("position")
+    return resolve(max_age(rows, catalog.filter(F.col("name").isin(names)), now_ms, few=True), log, on_missing).orderBy("position")
 
 
 def zip_prefix(log: DataFrame, catalog: DataFrame, pattern: str | None, now_ms: int, on_missing: str = "error") -> DataFrame:
@@ -55,7 +55,7 @@ def zip_prefix(log: DataFrame, catalog: DataFrame, pattern: str | None, now_ms:
 def from_streams(log: DataFrame, catalog: DataFrame, streams: list[str], now_ms: int, on_missing: str = "error") -> DataFrame:
     """Several streams side by side in one DataFrame keyed by `source_stream`, with both limits and links resolved."""
     names = sorted({s for s in streams if s and s.strip()})
-    kept = retained(log.filter(F.col("stream").isin(names)), catalog.filter(F.col("name").isin(names)), now_ms)
+    kept = retained(log.filter(F.col("stream").isin(names)), catalog.filter(F.col("name").isin(names)), now_ms, few=True)
     return resolve(kept, log, on_missing).withColumn("source_stream", F.coalesce("link_stream", "stream"))
 
 

@@ -25,9 +25,21 @@ def within_age(age: Column, now_ms: int) -> Column:
     return age.isNull() | (age <= 0) | (F.expr(f"({now_ms} - timestamp) div 1000") <= age)
 
 
+def one_per_name(catalog: DataFrame) -> DataFrame:
+    """Of the rows of a repeated name the latest created counts; of those the one with the least max_count, then max_age
+    (no limit being the greatest). Null creation times come last."""
+    rank = F.struct(
+        F.col("created").isNotNull().alias("a"), F.coalesce("created", F.lit(0)).alias("b"),
+        *[-F.when(F.col(c) > 0, F.col(c)).otherwise(2**63 - 1).cast("long") for c in ("max_count", "max_age")],
+    )
+    rest = [c for c in catalog.columns if c != "name"]
+    return catalog.groupBy("name").agg(F.max_by(F.struct(*rest), rank).alias("r")).select("name", "r.*")
+
+
 def limits(log: DataFrame, catalog: DataFrame, count: bool, age: bool) -> DataFrame:
     """stream, first version kept (null: all), max age (null: any) of the streams that have a limit."""
-    cat = catalog.select(F.col("name").alias("stream"), "max_count", "max_age").dropDuplicates(["stream"])
+    created = F.col("created") if "created" in catalog.columns else F.lit(None).cast("long").alias("created")
+    cat = one_per_name(catalog.select("name", created, "max_count", "max_age")).withColumnRenamed("name", "stream")
     has_count = F.coalesce(F.col("max_count") > 0, F.lit(False)) if count else F.lit(False)
     has_age = F.coalesce(F.col("max_age") > 0, F.lit(False)) if age else F.lit(False)
     cat = cat.filter(has_count | has_age)
@@ -39,9 +51,14 @@ def limits(log: DataFrame, catalog: DataFrame, count: bool, age: bool) -> DataFr
     return cat.select("stream", first.alias(VERSION_LIMIT), F.when(has_age, F.col("max_age")).alias(AGE_LIMIT))
 
 
-def retained(log: DataFrame, catalog: DataFrame, now_ms: int, count: bool = True, age: bool = True) -> DataFrame:
-    """The log's rows that both limits of their stream keep. Streams without a catalog row have no limit."""
-    joined = log.join(small_side(limits(log, catalog, count, age), "limits"), "stream", "left")
+def retained(log: DataFrame, catalog: DataFrame, now_ms: int, count: bool = True, age: bool = True, few: bool = False) -> DataFrame:
+    """The log's rows that both limits of their stream keep. Streams without a catalog row have no limit.
+
+    few: the catalog is filtered by a list of names, so its one row per name is broadcast unseen and nothing runs before
+    the read itself.
+    """
+    limit = limits(log, catalog, count, age)
+    joined = log.join(F.broadcast(limit) if few else small_side(limit, "limits"), "stream", "left")
     keep = (F.col(VERSION_LIMIT).isNull() | (F.col("version") >= F.col(VERSION_LIMIT))) & within_age(F.col(AGE_LIMIT), now_ms)
     return joined.filter(keep).select(*log.columns)
 
@@ -50,8 +67,8 @@ def max_count(log: DataFrame, catalog: DataFrame) -> DataFrame:
     return retained(log, catalog, 0, age=False)
 
 
-def max_age(log: DataFrame, catalog: DataFrame, now_ms: int) -> DataFrame:
-    return retained(log, catalog, now_ms, count=False)
+def max_age(log: DataFrame, catalog: DataFrame, now_ms: int, few: bool = False) -> DataFrame:
+    return retained(log, catalog, now_ms, count=False, few=few)
 
 
 def scavenge(log: DataFrame, catalog: DataFrame, deleted: DataFrame, now_ms: int) -> DataFrame:

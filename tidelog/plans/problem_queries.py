@@ -96,7 +96,7 @@ def p3_catalog(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("key").alias("name"), "first_seq", "last_seq", "hash", "created", "max_age", "max_count")
 
 
-_CHANGES = """
+CHANGES_SQL = """
 WITH raw AS (SELECT version AS seq, type, data FROM event_log WHERE stream = '_streams' AND version IS NOT NULL
              AND type IN ('_STREAM_CREATED', '_STREAM_UPDATED', '_STREAM_DELETED') AND json_valid(data)),
 c AS (SELECT DISTINCT seq, type, CASE WHEN type = '_STREAM_DELETED' THEN data->>'$.stream' ELSE data->>'$.name' END AS name,
@@ -207,14 +207,14 @@ SELECT segment_no, epoch_us(max(ru)) AS mark_us FROM l WHERE st = 'ok' GROUP BY
 WITH h AS (SELECT CAST(floor(max(position) / 2) AS BIGINT) AS half FROM event_log)
 SELECT stream, count(*) AS n_rows, max(position) AS last_position, CAST(CASE WHEN position <= half THEN 1 ELSE 2 END AS INTEGER) AS commit_no
 FROM event_log, h WHERE stream IS NOT NULL GROUP BY stream, CAST(CASE WHEN position <= half THEN 1 ELSE 2 END AS INTEGER)""",
-    "p3_found": _CHANGES + "SELECT name, max(seq) AS last_version FROM l GROUP BY name",
-    "p3_catalog": _CHANGES
+    "p3_found": CHANGES_SQL + "SELECT name, max(seq) AS last_version FROM l GROUP BY name",
+    "p3_catalog": CHANGES_SQL
     + """SELECT name, min(first_seq) AS first_seq, max(seq) AS last_seq, arg_max(hash, seq) AS hash, arg_max(created, seq) AS created,
 arg_max(max_age, seq) AS max_age, arg_max(max_count, seq) AS max_count FROM l GROUP BY name""",
     "p5_found": _CELLS + "SELECT stream, type FROM c JOIN event_kind USING (kind_no) WHERE n >= 5",
     "p5_cells": _CELLS + "SELECT stream, kind_no, n, total, latest FROM c",
-    "p6_found": _CHANGES + _REFERENCES + "SELECT DISTINCT stream, version FROM j WHERE status <> 'fine'",
-    "p6_report": _CHANGES
+    "p6_found": CHANGES_SQL + _REFERENCES + "SELECT DISTINCT stream, version FROM j WHERE status <> 'fine'",
+    "p6_report": CHANGES_SQL
     + _REFERENCES
     + "SELECT kind, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d') AS day, status, count(*) AS n_references FROM j GROUP BY 1, 2, 3",
 }

@@ -8,7 +8,8 @@
 Handlers of this form are algebraic: each becomes one conditional aggregate, so the fold runs with partial aggregation on
 all partitions and no order is needed. A handler may also be a Python function (state, event) -> state for folds that
 depend on order; `fold_per_stream` then streams each stream's sorted events through it once, holding one state at a time,
-and `fold_all` folds position ranges in parallel and merges their states in order.
+and `fold_all` folds position ranges in parallel and merges their states in order. Handlers of `fold_emitting` may also send
+copies of events, and links to them, to other streams.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.schema import LINK_TYPE
+
 #: A handler for events of every type.
 ANY = "_any"
 EVENT = ["stream", "version", "position", "type", "timestamp", "data"]
@@ -126,6 +129,61 @@ def fold_per_stream(events: DataFrame, initial: dict, handlers: dict[str, Step])
     return rows.repartition("stream").sortWithinPartitions("stream", "version", "position").mapInPandas(run, "stream string, state string")
 
 
+class Outbox:
+    """What the handlers of a projection send to other streams while they fold."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def emit(self, stream: str, event: dict) -> None:
+        """A copy of an event (or any type, data, metadata) for another stream."""
+        self.rows.append(("emit", None, None, stream, event["position"], event["type"], event.get("data"), event.get("metadata")))
+
+    def link_to(self, stream: str, event: dict) -> None:
+        """A link to an event in another stream; a link to a link points at what that one points at."""
+        data = event["data"] if event["type"] == LINK_TYPE else f"{event['stream']}@{event['version']}"
+        self.rows.append(("link", None, None, stream, event["position"], LINK_TYPE, data, None))
+
+
+SENT = "what string, stream string, state string, target string, position long, type string, data string, metadata string"
+
+
+def fold_emitting(events: DataFrame, initial: dict, handlers: dict[str, Callable[[dict, dict, Outbox], dict]]) -> DataFrame:
+    """As fold_per_stream(), with handlers (state, event, outbox) -> state that may send events to other streams.
+
+    what: `state` (stream and its state at the end), `emit` or `link` (an event to append to target: type, data, metadata;
+    position is that of the event handled, so it tells their order). What is sent leaves a worker batch by batch.
+    """
+    names = [f.strip().partition(" ")[0] for f in SENT.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, state, out = None, None, Outbox()
+        done = lambda: ("state", stream, json.dumps(state, sort_keys=True), None, None, None, None, None)
+        for batch in batches:
+            for event in batch.to_dict("records"):
+                if event["stream"] != stream:
+                    if stream is not None:
+                        out.rows.append(done())
+                    stream, state = event["stream"], json.loads(json.dumps(initial))
+                for kind in (event["type"], ANY):
+                    if kind in handlers:
+                        state = handlers[kind](state, event, out)
+            if out.rows:
+                yield _sent(out.rows, names)
+                out.rows = []
+        if stream is not None:
+            yield _sent([*out.rows, done()], names)
+
+    columns = [*EVENT, *(["metadata"] if "metadata" in events.columns else [])]
+    rows = events.filter(F.col("stream").isNotNull()).select(*columns)
+    return rows.repartition("stream").sortWithinPartitions("stream", "version", "position").mapInPandas(run, SENT)
+
+
+def _sent(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=names)
+    return out.astype({"position": "Int64"})
+
+
 def fold_all(events: DataFrame, initial: dict, handlers: dict[str, Step], merge: Callable[[dict, dict], dict]) -> dict:
     """One state over all events in position order. Ranges of positions are folded in parallel, each from `initial`; merge
     puts the state of a later range onto that of the ranges before it. Only the states reach the driver, one per range."""

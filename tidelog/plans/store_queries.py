@@ -11,9 +11,11 @@ from tidelog.functions import text
 from tidelog.functions.names import event_id, is_blank, is_link, is_system_name, reference_stream, reference_version
 from tidelog.operators import appending, catalog, chunking, links, maintenance, reads, retention
 from tidelog.plans import projections as P
-from tidelog.schema import LOG
+from tidelog.plans.problem_queries import CHANGES_SQL
+from tidelog.schema import INDEX_FLUSHED, LOG
 from tidelog.session import scratch_path, written
 from tidelog.sources import adapters
+from tidelog.sources.store import EventStore
 from tidelog.sources.tables import table
 from tidelog.streaming import subscriptions
 
@@ -37,6 +39,8 @@ tl AS (SELECT 'type-' || type AS link_stream, CAST(row_number() OVER (PARTITION
 """
 _ROW = "position, stream, type, version, timestamp, data"
 _COLUMNS = _ROW.split(", ")
+#: The types of `events`.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
 def query(sql: str | None):
@@ -199,17 +203,10 @@ def permissions(spark, d):
     return catalog.has_permission(table(spark, d, "stream_catalog"), "team-1", 1)
 
 
-@query("""
-WITH x AS (SELECT * FROM (VALUES (1, 'c', 'a', 10), (2, 'c', 'a', 20), (3, 'd', 'a', 0), (4, 'c', 'b', 40), (5, 'c', 'a', 50), (6, 'c', 'c', 60), (7, 'd', 'c', 0)) t(seq, op, name, created)),
-d AS (SELECT name, max(seq) AS gone FROM x WHERE op = 'd' GROUP BY name)
-SELECT x.name, CAST(arg_min(created, seq) AS BIGINT) AS created FROM x LEFT JOIN d USING (name) WHERE op = 'c' AND seq > coalesce(gone, 0) GROUP BY x.name""")
+@query(CHANGES_SQL + "SELECT name, arg_max(created, seq) AS created, arg_max(max_age, seq) AS max_age, arg_max(max_count, seq) AS max_count FROM l GROUP BY name")
 def catalog_replay(spark, d):
-    """First creation wins, a delete ends it, a creation after a delete counts: on a hand-made feed."""
-    made = [(1, "c", "a", 10), (2, "c", "a", 20), (3, "d", "a", 0), (4, "c", "b", 40), (5, "c", "a", 50), (6, "c", "c", 60), (7, "d", "c", 0)]
-    rows = spark.createDataFrame(made, "version int, op string, name string, created long")
-    body = F.when(F.col("op") == "c", F.to_json(F.struct("name", "created"))).otherwise(F.to_json(F.struct(F.col("name").alias("stream"))))
-    log = rows.select(F.lit("_streams").alias("stream"), "version", F.col("version").cast("long").alias("position"), F.when(F.col("op") == "c", "_STREAM_CREATED").otherwise("_STREAM_DELETED").alias("type"), body.alias("data"))
-    return catalog.replay(log).select("name", "created")
+    """The catalog that the `_streams` events of event_log leave: first creation wins, a delete ends it."""
+    return catalog.replay(table(spark, d, "event_log")).select("name", "created", "max_age", "max_count")
 
 
 # ---- retention
@@ -242,7 +239,10 @@ def scavenge(spark, d):
 
 @query(_LOG + "SELECT link_stream AS stream, link_version AS version, ref AS data FROM tl")
 def link_create(spark, d):
-    return adapters.type_links(_log(spark, d)).select("stream", "version", "data")
+    """Links made by link_to(), one stream per type, and the versions they get when they are appended."""
+    log = _log(spark, d)
+    made = chunking.union_all([links.link_to(log.filter(F.col("type") == k).withColumn("ordinal", F.col("position")), f"type-{k}") for k in EVENT_TYPES])
+    return appending.append_versions(log.limit(0), made).select("stream", "version", "data")
 
 
 @query(_LOG + f"SELECT link_stream, link_version, {_ROW} FROM tl JOIN log ON ref = stream || '@' || version")
@@ -438,15 +438,22 @@ def index_concat(spark, d):
     return maintenance.concat(index.filter(F.col("stream") == "ledger-189"), index.filter(F.col("stream") == "_index"))
 
 
-@query("SELECT name, maybe FROM (SELECT DISTINCT name, true AS maybe FROM stream_catalog WHERE name IN (SELECT stream FROM event_log WHERE stream IS NOT NULL))")
+@query("""
+WITH k AS (SELECT DISTINCT stream FROM event_log WHERE stream IS NOT NULL), a AS (SELECT DISTINCT name FROM stream_catalog UNION SELECT DISTINCT 'no ' || name FROM stream_catalog UNION SELECT DISTINCT stream || '?' FROM k)
+SELECT count(*) AS n_asked, count(*) FILTER (name IN (SELECT stream FROM k)) AS n_held, CAST(0 AS BIGINT) AS n_false_no, true AS within FROM a""")
 def bloom_membership(spark, d):
-    """Catalog streams that a sketch of the log's streams may hold: those that it does hold are always among them."""
-    keys = table(spark, d, "event_log").select("stream").distinct()
+    """Names asked of a sketch of the log's streams, half of them not there: how many it holds, the false no (never), and
+    whether the false yes are at most twice the rate it is made for (and five more, as there may be few)."""
+    keys = table(spark, d, "event_log").select("stream").filter(F.col("stream").isNotNull()).distinct()
+    names = table(spark, d, "stream_catalog").select(F.col("name").alias("stream"))
+    asked = names.union(names.select(F.concat(F.lit("no "), "stream"))).union(keys.select(F.concat("stream", F.lit("?")))).distinct()
     bits, hashes = maintenance.bloom_shape(keys.count())
-    asked = table(spark, d, "stream_catalog").select(F.col("name").alias("stream"))
     words = written(maintenance.bloom_words(keys, "stream", bits, hashes), "bloom")
-    found = maintenance.bloom_contains(words, asked, "stream", bits, hashes)
-    return found.join(keys, "stream", "left_semi").select(F.col("stream").alias("name"), "maybe")
+    found = maintenance.bloom_contains(words, asked, "stream", bits, hashes).join(keys.withColumn("held", F.lit(True)), "stream", "left")
+    held = F.coalesce("held", F.lit(False))
+    counts = found.agg(F.count(F.lit(1)).alias("n_asked"), F.count_if(held).alias("n_held"), F.count_if(held & ~F.col("maybe")).alias("n_false_no"), F.count_if(~held & F.col("maybe")).alias("n"))
+    most = 5 + 2 * maintenance.BLOOM_ERROR * (F.col("n_asked") - F.col("n_held"))
+    return counts.select("n_asked", "n_held", "n_false_no", (F.col("n") <= most).alias("within"))
 
 
 @query(_LOG + "SELECT stream || '@' || version || ' ' || type || ' ' || coalesce(data, '') AS line FROM log WHERE stream = 'user-3'")
@@ -492,12 +499,30 @@ def subscribe_prefix(spark, d):
     return subscriptions.drained(subscriptions.of_pattern(_stream(spark, d), "account-*"), "subscribe").select(*_COLUMNS)
 
 
-@query("SELECT DISTINCT stream, version FROM event_log WHERE starts_with(stream, 'account-') AND version IS NOT NULL")
+@query("""
+WITH r AS (SELECT stream, version, position * 3 // (SELECT max(position) + 1 FROM event_log) AS batch FROM event_log WHERE stream IS NOT NULL AND version IS NOT NULL),
+m AS (SELECT stream, batch, max(version) AS top FROM r GROUP BY 1, 2)
+SELECT DISTINCT r.stream, r.version, r.batch FROM r WHERE version > coalesce((SELECT max(top) FROM m WHERE m.stream = r.stream AND m.batch < r.batch), -1)""")
 def subscribe_high_water(spark, d):
-    """Every version once, although rows are stored and delivered again (all present files are one batch)."""
+    """event_log as three files that come one after the other: each version once, and none below those of earlier batches."""
     path = scratch_path(spark, "high-water")
-    subscriptions.above_high_water(subscriptions.of_pattern(_stream(spark, d), "account-*"), path).awaitTermination()
-    return subscriptions.high_water_output(spark, path).select("stream", "version")
+    log = table(spark, d, "event_log")
+    top = log.agg(F.max("position").alias("p")).first()["p"]
+    batch = F.expr(f"position * 3 div {(top or 0) + 1}")
+    for n in range(3):
+        log.filter(batch == n).select(*[f.name for f in LOG]).coalesce(1).write.mode("append").parquet(f"{path}/log")
+    subscriptions.above_high_water(subscriptions.log_stream(spark, f"{path}/log", LOG, files_per_batch=1), path).awaitTermination()
+    return subscriptions.high_water_output(spark, path).select("stream", "version", batch.cast("long").alias("batch"))
+
+
+@query(_LOG + f"""SELECT NULL AS link_stream, CAST(NULL AS INTEGER) AS link_version, {_ROW} FROM log
+UNION ALL SELECT link_stream, link_version, {_ROW} FROM tl JOIN log ON ref = stream || '@' || version""")
+def subscribe_links(spark, d):
+    """Following the whole log, a link stream per type in it, with links resolved as they come."""
+    path = scratch_path(spark, "subscribe")
+    _linked(spark, d).write.parquet(f"{path}/log")
+    log = spark.read.schema(LOG).parquet(f"{path}/log")
+    return subscriptions.resolved(subscriptions.log_stream(spark, f"{path}/log", LOG), log, path, "error").select("link_stream", "link_version", *_COLUMNS)
 
 
 @query("SELECT stream, count(*) AS n FROM event_log WHERE stream IN ('ledger-189', '_index') AND version IS NOT NULL GROUP BY stream")
@@ -563,3 +588,136 @@ def creation_events(spark, d):
 @query("SELECT position, stream, type, version, timestamp, data FROM event_log WHERE stream IS NOT NULL AND trim(stream) <> '' AND type IS NOT NULL AND trim(type) <> ''")
 def named_events(spark, d):
     return reads.named(table(spark, d, "event_log")).select(*_COLUMNS)
+
+
+@query("SELECT count(DISTINCT stream) AS n_names, count(DISTINCT stream) AS n_numbers, CAST(16 AS BIGINT) AS n_buckets, true AS even FROM event_log")
+def hash_functions(spark, d):
+    """Numbers and buckets of stream names: a number of its own for each, and no bucket with twice its share."""
+    names = table(spark, d, "event_log").filter(F.col("stream").isNotNull()).select("stream").distinct()
+    rows = names.select(text.stream_number(F.col("stream")).alias("n"), text.bucket(F.col("stream"), 16).alias("b"))
+    per = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n_names"), F.count_distinct("n").alias("n_numbers"))
+    even = F.max("n_names") * 16 <= 2 * F.sum("n_names") + 160
+    return per.agg(F.sum("n_names").alias("n_names"), F.sum("n_numbers").alias("n_numbers"), F.count(F.lit(1)).alias("n_buckets"), even.alias("even"))
+
+
+# ---- the older catalog, with repeated names
+
+_CATALOG = """
+WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY created DESC NULLS LAST, CASE WHEN max_count > 0 THEN max_count ELSE 9223372036854775807 END,
+           CASE WHEN max_age > 0 THEN max_age ELSE 9223372036854775807 END) AS r FROM stream_catalog) WHERE r = 1),
+cur AS (SELECT stream, max(version) AS current FROM event_log WHERE stream IS NOT NULL GROUP BY stream)
+"""
+
+
+@query(_CATALOG + "SELECT name, created, max_count, coalesce(max_age, -1) AS max_age, CAST(coalesce(current, -1) AS INTEGER) AS version FROM c LEFT JOIN cur ON cur.stream = c.name")
+def catalog_metadata(spark, d):
+    """The older catalog, one row per name, with current versions of the log."""
+    rows = catalog.streams_metadata(table(spark, d, "stream_catalog"), table(spark, d, "event_log"))
+    return rows.select("name", "created", "max_count", F.coalesce("max_age", F.lit(-1)).alias("max_age"), "version")
+
+
+@query(_CATALOG + """SELECT position, e.stream, version FROM event_log e LEFT JOIN c ON c.name = e.stream LEFT JOIN cur ON cur.stream = e.stream
+WHERE (c.max_count IS NULL OR c.max_count <= 0 OR version > current - c.max_count) AND (c.max_age IS NULL OR c.max_age <= 0 OR (1767225600000 - timestamp) // 1000 <= c.max_age)""")
+def retention_catalog(spark, d):
+    """event_log under the limits of the older catalog, whose names repeat, at 2026-01-01."""
+    return retention.retained(table(spark, d, "event_log"), table(spark, d, "stream_catalog"), 1_767_225_600_000).select("position", "stream", "version")
+
+
+# ---- a stored log
+
+
+def _stored(spark: SparkSession, d: str) -> EventStore:
+    """A new store with the events of the table, appended in two batches, the later half by position last."""
+    store = EventStore(spark, scratch_path(spark, "store"), clock=lambda: NOW, flush_entries=1000)
+    log = _log(spark, d)
+    half = log.agg((F.max("position") / 2).cast("long").alias("h")).first()["h"] or 0
+    for part in (log.filter(F.col("position") <= half), log.filter(F.col("position") > half)):
+        store.append(part.select("stream", "type", "data", "metadata", "position"))
+    return store
+
+
+@query(_LOG + "SELECT stream, version, type, data FROM log")
+def store_append_read(spark, d):
+    """What two appends have stored, with the versions the store gave."""
+    return _stored(spark, d).from_all().filter(~is_system_name(F.col("stream"))).select("stream", "version", "type", "data")
+
+
+@query(_LOG + "SELECT stream AS name, CAST(current AS INTEGER) AS version, 1706659200000 AS created FROM cur")
+def store_reopen(spark, d):
+    """The catalog and the current versions that a store finds when it is opened again."""
+    again = EventStore(spark, _stored(spark, d).path)
+    rows = again.catalog.join(again.versions().withColumnRenamed("stream", "name"), "name")
+    return rows.select("name", "version", "created")
+
+
+@query("""
+WITH n AS (SELECT count(*) + count(DISTINCT user_id) AS n FROM events)
+SELECT 1000 * k - 1 AS log_position, 1000 AS entries FROM n, range(1, 1000000) t(k) WHERE k <= n // 1000""")
+def store_flushes(spark, d):
+    """The index flushes that a store reports of itself, after one append of everything (the creation of each stream included)."""
+    store = EventStore(spark, scratch_path(spark, "store"), clock=lambda: NOW, flush_entries=1000)
+    store.append(_log(spark, d).select("stream", "type", "data", "metadata", "position"))
+    v = json_object(F.col("data"))
+    return store.log.filter(F.col("type") == INDEX_FLUSHED).select(top_level(v, "logPosition", "long").alias("log_position"), top_level(v, "entries", "int").alias("entries"))
+
+
+@query(_LOG + "SELECT 'user-3' AS name, 5 AS max_count, CAST(99 AS BIGINT) AS max_age, 2 AS ann, 'sales' AS owner, CAST(count(*) - 1 AS INTEGER) AS version FROM log WHERE stream = 'user-3'")
+def store_create_stream(spark, d):
+    """A stream created with limits, permissions and metadata, then updated and appended to; what the catalog says of it."""
+    store = EventStore(spark, scratch_path(spark, "store"), clock=lambda: NOW)
+    store.create_stream("user-3", max_count=5, permissions={"ann": 2}, metadata={"owner": "sales"})
+    store.update_stream("user-3", max_age=99)
+    store.append(_log(spark, d).filter(F.col("stream") == "user-3").select("stream", "type", "data", "metadata", "position"))
+    one = store.stream_metadata("user-3")
+    return one.select("name", "max_count", "max_age", F.try_element_at("permissions", F.lit("ann")).alias("ann"), F.try_element_at("metadata", F.lit("owner")).alias("owner"), "version")
+
+
+@query(_LOG + """SELECT 'copies' AS stream, CAST(row_number() OVER (ORDER BY position) - 1 AS INTEGER) AS version, type, data FROM log WHERE stream IN ('user-1', 'user-2') AND type = 'purchase'
+UNION ALL SELECT 'links', CAST(row_number() OVER (ORDER BY position) - 1 AS INTEGER), '_>', stream || '@' || version FROM log WHERE stream IN ('user-1', 'user-2') AND type <> 'purchase'""")
+def projection_emit(spark, d):
+    """A projection whose handlers copy purchases to one stream of the store and link all other events in another."""
+    store = EventStore(spark, scratch_path(spark, "store"), clock=lambda: NOW)
+    store.append(_log(spark, d).filter(F.col("stream").isin("user-1", "user-2")).select("stream", "type", "data", "metadata", "position"))
+
+    def handle(state: dict, event: dict, out: P.Outbox) -> dict:
+        if event["type"] == "purchase":
+            out.emit("copies", event)
+        else:
+            out.link_to("links", event)
+        return {"n": state["n"] + 1}
+
+    store.project(["user-1", "user-2"], {"n": 0}, {P.ANY: handle})
+    return store.log.filter(F.col("stream").isin("copies", "links")).select("stream", "version", "type", "data")
+
+
+@query(_LOG + "SELECT type, count(*) AS n FROM log WHERE stream IN ('user-1', 'user-2') GROUP BY type")
+def store_subscription(spark, d):
+    """Events of two streams of a store pushed to a callback that counts them."""
+    store, path = _stored(spark, d), scratch_path(spark, "push")
+
+    def count(batch: DataFrame, number: int) -> None:
+        batch.groupBy("type").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    store.subscribe(["user-1", "user-2"], count, f"{path}/checkpoint").awaitTermination()
+    store.close()
+    return spark.read.parquet(f"{path}/out").groupBy("type").agg(F.sum("n").alias("n"))
+
+
+@query(_LOG + "SELECT type, count(*) AS n, max(position) AS last FROM log GROUP BY type")
+def projection_registry(spark, d):
+    """A projection run by its name, its state written and read again."""
+    registry, path = P.Registry(), scratch_path(spark, "state")
+    registry.add("by type", lambda log: log.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last")))
+    (name,) = registry.names()
+    for _ in range(2):  # the second run replaces the first
+        P.persist(registry.run(name, _log(spark, d)), path)
+    return spark.read.parquet(path)
+
+
+@query(_LOG + "SELECT CAST(sum(length(type)) AS BIGINT) AS letters, arg_max(type, position) AS last FROM log")
+def projection_fold_all(spark, d):
+    """One state over the whole log in position order, folded by ranges and merged."""
+    add = lambda state, event: {"letters": state["letters"] + len(event["type"]), "last": event["type"]}
+    both = lambda a, b: {"letters": a["letters"] + b["letters"], "last": b["last"] or a["last"]}
+    state = P.fold_all(_log(spark, d), {"letters": 0, "last": None}, {P.ANY: add}, both)
+    return spark.createDataFrame([(state["letters"], state["last"])], "letters long, last string")

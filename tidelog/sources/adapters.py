@@ -1,6 +1,6 @@
 """Event logs made from other tables: the canonical LOG schema over events, orders and lineitem.
 
-A log is materialised once per session and source folder, clustered by stream and version, so that later reads push
+A log is materialised once per session and state of the source's files, clustered by stream and version, so that later reads push
 stream and version filters into the Parquet scan instead of deriving names and versions again.
 """
 
@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.chunking import number_rows
 from tidelog.schema import LINK_TYPE, NO_LIMIT
-from tidelog.session import scratch_path
-from tidelog.sources.tables import table
+from tidelog.session import hadoop, scratch_path
+from tidelog.sources.tables import file_stamps, table
 
 #: The moment that retention is measured at in queries over `events`: 2024-01-31T00:00:00Z, after all of them.
 EVENTS_NOW = 1_706_659_200_000
-_MADE: dict[tuple[str, str, str], str] = {}
+_MADE: dict[tuple, str] = {}
 
 
 def _ms(column: str) -> F.Column:
@@ -24,14 +24,19 @@ def _ms(column: str) -> F.Column:
 
 
 def _once(spark: SparkSession, kind: str, d: str, make) -> DataFrame:
-    key = (spark.sparkContext.applicationId, kind, d)
-    if key not in _MADE:
+    key = (spark.sparkContext.applicationId, kind, d, file_stamps(spark, f"{d}/{kind.partition('-')[0]}.parquet"))
+    if key not in _MADE or not _there(spark, _MADE[key]):
         path = scratch_path(spark, kind)
         make().write.parquet(path)
         _MADE[key] = path
     return spark.read.parquet(_MADE[key])
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    fs, at = hadoop(spark, path)
+    return fs.exists(at)
+
+
 def with_versions(rows: DataFrame, order: list[str]) -> DataFrame:
     """Dense versions from 0 per stream in the order given, numbered without bringing a stream together in one task."""
     numbered = number_rows(rows, "stream", order)

@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tidelog.functions.names import matches_pattern
 from tidelog.operators.links import resolve
 from tidelog.schema import LOG
-from tidelog.session import scratch_path
+from tidelog.session import hadoop, scratch_path
 
 
 def log_stream(spark: SparkSession, path: str, schema: StructType = LOG, position: int | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def high_water_output(spark: SparkSession, path: str) -> DataFrame:
 
 
 def push(rows: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, log: DataFrame | None = None, once: bool = True, every: str = "2 seconds") -> StreamingQuery:
-    """Hand every micro-batch to callback(batch, batch number), rows of a stream in version order within partitions.
+    """Hand every micro-batch to callback(batch, batch number), sorted by stream and version over its partitions.
 
     With a log (re-read for every batch) links are resolved; link_stream and link_version then tell which row it was.
     A batch may come again after a failure, with the same number.
@@ -83,13 +83,31 @@ def push(rows: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint
     def run(batch: DataFrame, number: int) -> None:
         if log is not None:
             batch = resolve(batch, log, on_missing="drop")
-        callback(batch.repartition("stream").sortWithinPartitions("stream", "version"), number)
+        # by ranges, so that a hot stream is split and its parts are in order
+        callback(batch.repartitionByRange("stream", "version").sortWithinPartitions("stream", "version"), number)
 
     writer = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
     return writer.start()
 
 
+def resolved(rows: DataFrame, log: DataFrame, path: str, on_missing: str = "drop") -> DataFrame:
+    """Run a stream up to the present head of its source with links resolved: what came, with link_stream and link_version.
+
+    Every batch is resolved against the log as it then is and written by its number, so a repeated batch replaces itself.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        resolve(batch, log, on_missing).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = StructType([*log.schema.fields, StructField("link_stream", StringType()), StructField("link_version", IntegerType())])
+    found = hadoop(rows.sparkSession, f"{path}/out")
+    if not found[0].exists(found[1]):
+        return rows.sparkSession.createDataFrame([], schema)
+    return rows.sparkSession.read.schema(schema).parquet(f"{path}/out/batch=*")
+
+
 def drained(rows: DataFrame, label: str) -> DataFrame:
     """Run a stream up to the present head of its source into the shared folder; what it emitted."""
     spark = rows.sparkSession
