@@ -7,14 +7,13 @@ of an entity form a sparse vector (at most one element per known type), which is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.json import json_object, may_hold_key, top_level
 from tidelog.functions.names import is_system_name
+from tidelog.session import small_side
 
-#: Kinds a feature table may have: they are broadcast and become columns.
-MOST_KINDS = 5_000
 AMOUNT = "decimal(28,6)"
 
 
@@ -25,12 +24,9 @@ def encoded_events(log: DataFrame, kinds: DataFrame) -> DataFrame:
     (stream, version) the one with the smallest position counts (then by kind, time, amount). amount is the top-level
     number or numeric text; anything else is null.
     """
-    kinds = kinds.select(F.col("type").alias("kind_type"), F.col("kind_no")).filter(F.col("kind_type").isNotNull()).dropDuplicates(["kind_type"])
-    n = kinds.limit(MOST_KINDS + 1).count()
-    if n > MOST_KINDS:
-        raise ValueError(f"more than {MOST_KINDS} event kinds")
+    kinds = kinds.filter(F.col("type").isNotNull()).groupBy(F.col("type").alias("kind_type")).agg(F.min("kind_no").alias("kind_no"))
     rows = log.filter(F.col("stream").isNotNull() & F.col("version").isNotNull() & ~is_system_name(F.col("stream"))).select("stream", "version", "type", "position", "timestamp", "data")
-    rows = rows.join(F.broadcast(kinds), F.col("type") == F.col("kind_type"), "left")
+    rows = rows.join(small_side(kinds, "kinds"), F.col("type") == F.col("kind_type"), "left")
     known = F.col("kind_no").isNotNull()
     text = F.when(known & may_hold_key(F.col("data"), "amount"), F.col("data"))
     amount = F.trim(top_level(json_object(text), "amount")).try_cast(AMOUNT)
@@ -60,20 +56,36 @@ def feature_vectors(log: DataFrame, kinds: DataFrame) -> DataFrame:
     return sparse_vectors(cells(encoded_events(log, kinds)))
 
 
+def dense(vector: Column, first: int, size: int) -> Column:
+    """The cells of a sparse vector at their places in an array of `size`, for indices from `first` on: the gaps before the
+    cells and behind the last are filled with nulls, so the work is in proportion to the array."""
+    at = lambda c: c["kind_no"] - F.lit(first)
+    last = lambda i: F.when(i == 0, F.lit(-1)).otherwise(at(F.try_element_at(vector, i)))
+    none = F.when(F.lit(False), F.try_element_at(vector, F.lit(1)))
+    gap = lambda n: F.array_repeat(none, F.greatest(n, F.lit(0)))
+    filled = F.flatten(F.transform(vector, lambda c, i: F.concat(gap(at(c) - last(i) - 1), F.array(c))))
+    return F.concat(filled, gap(F.lit(size) - F.size(filled)))
+
+
 def feature_table(log: DataFrame, kinds: DataFrame) -> DataFrame:
     """One row per user stream: stream, then n_<k>, total_<k>, latest_<k> for every kind number k.
 
-    n is 0 and total (the exact decimal sum as a double) and latest are null where a stream has no event of the kind; total is null too where no event of the
-    cell has an amount. Streams without any event of a known kind have a row as well, with counts of 0.
+    n is 0 and total (the exact decimal sum as a double) and latest are null where a stream has no event of the kind; total
+    is null too where no event of the cell has an amount. Streams without any event of a known kind have a row as well, with
+    counts of 0. Kinds become columns, so their number is bounded by what a table can have; kind numbers may leave gaps, but
+    the array that is cut into columns is as long as their range.
     """
-    numbers = sorted(r["kind_no"] for r in kinds.filter(F.col("type").isNotNull()).select("kind_no").distinct().limit(MOST_KINDS).collect())
+    numbers = sorted(r["kind_no"] for r in kinds.filter(F.col("type").isNotNull() & F.col("kind_no").isNotNull()).select("kind_no").distinct().collect())
     streams = log.filter(F.col("stream").isNotNull() & F.col("version").isNotNull() & ~is_system_name(F.col("stream"))).select("stream").distinct()
     wide = streams.join(feature_vectors(log, kinds), "stream", "left")
-    by_kind = F.map_from_entries(F.transform("vector", lambda c: F.struct(c["kind_no"], c)))
-    wide = wide.select("stream", by_kind.alias("m"))
-    out = ["stream"]
+    if not numbers:
+        return wide.select("stream")
+    nothing = F.array().cast(wide.schema["vector"].dataType)
+    wide = wide.select("stream", F.coalesce("vector", nothing).alias("vector"))
+    wide = wide.select("stream", dense(F.col("vector"), numbers[0], numbers[-1] - numbers[0] + 1).alias("d"))
+    out = [F.col("stream")]
     for k in numbers:
-        cell = F.try_element_at("m", F.lit(k))
+        cell = F.col("d")[k - numbers[0]]
         out += [F.coalesce(cell["n"], F.lit(0)).alias(f"n_{k}"), cell["total"].cast("double").alias(f"total_{k}"), cell["latest"].alias(f"latest_{k}")]
     return wide.select(*out)
 
