@@ -21,8 +21,8 @@ def encoded_events(log: DataFrame, kinds: DataFrame) -> DataFrame:
     """stream, version, kind_no, timestamp, amount of the events that count, each (stream, version) once.
 
     User streams only; null stream or version and types that kinds doesn't spell exactly so don't count. Of copies of a
-    (stream, version) the one with the smallest position counts (then by kind, time, amount). amount is the top-level
-    number or numeric text; anything else is null.
+    (stream, version) the one with the smallest position counts; rows at one position are copies of each other. amount is
+    the top-level number or numeric text; anything else is null.
     """
     kinds = kinds.filter(F.col("type").isNotNull()).groupBy(F.col("type").alias("kind_type")).agg(F.min("kind_no").alias("kind_no"))
     rows = log.filter(F.col("stream").isNotNull() & F.col("version").isNotNull() & ~is_system_name(F.col("stream"))).select("stream", "version", "type", "position", "timestamp", "data")
@@ -30,9 +30,10 @@ def encoded_events(log: DataFrame, kinds: DataFrame) -> DataFrame:
     known = F.col("kind_no").isNotNull()
     text = F.when(known & may_hold_key(F.col("data"), "amount"), F.col("data"))
     amount = F.trim(top_level(json_object(text), "amount")).try_cast(AMOUNT)
-    cell = F.struct("position", "kind_no", "timestamp", amount.alias("amount"))
-    once = rows.select("stream", "version", cell.alias("cell")).groupBy("stream", "version").agg(F.min("cell").alias("cell"))
-    return once.select("stream", "version", "cell.kind_no", "cell.timestamp", "cell.amount").filter(F.col("kind_no").isNotNull())
+    rows = rows.select("stream", "version", F.coalesce("position", F.lit(2**63 - 1)).alias("at"), "kind_no", "timestamp", amount.alias("amount"))
+    # buffers of fixed width keep the aggregate a hash aggregate; all three take the same row
+    first = [F.min_by(c, "at").alias(c) for c in ("kind_no", "timestamp", "amount")]
+    return rows.groupBy("stream", "version").agg(*first).filter(F.col("kind_no").isNotNull())
 
 
 def cells(events: DataFrame) -> DataFrame:
