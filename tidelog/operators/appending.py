@@ -9,7 +9,7 @@ from tidelog.functions.names import is_blank, is_system_name
 from tidelog.operators.chunking import number_rows
 from tidelog.operators.retention import current_versions
 from tidelog.schema import INDEX_FLUSHED, INDEX_STREAM, NO_VERSION, STREAM_CREATED, STREAMS_STREAM
-from tidelog.session import join_by_key, written
+from tidelog.session import join_by_key
 
 #: Entries of an index flush, and the fewest that may be set.
 FLUSH_ENTRIES = 1_000_000
@@ -43,7 +43,7 @@ def append_versions(log: DataFrame, batch: DataFrame, ordinal: str = "ordinal",
     numbered = number_rows(batch.withColumn("__one", F.lit("all")), "__one", [ordinal]).withColumn("position", F.col("row_no") + F.lit(head)).drop("row_no", "__one")
     numbered = number_rows(numbered, "stream", ["position"])
     known = (current_versions(log) if prior is None else prior).select("stream", F.col("version").alias("__current"))
-    versions = join_by_key(written(numbered, "numbered"), written(known, "prior"), ["stream"], "left")
+    versions = join_by_key(numbered, known, ["stream"], "left")
     return versions.withColumn("version", (F.coalesce("__current", F.lit(NO_VERSION)) + F.col("row_no")).cast("int")).drop("__current", "row_no")
 
 

@@ -99,7 +99,7 @@ def change_files(changes: DataFrame, path: str | None = None) -> ChangeFiles:
 def surviving(files: ChangeFiles) -> DataFrame:
     """Inserts that no later delete of their key covers; written once."""
     later = F.col("r.seq") > F.col("l.seq")
-    return written(join_by_key(files.inserts(), written(files.deletes(), "deletes"), ["key"], "left_anti", later), "surviving")
+    return written(join_by_key(files.inserts(), files.deletes(), ["key"], "left_anti", later), "surviving")
 
 
 def current_state(files: ChangeFiles, fields: tuple[str, ...] = tuple(c for _, c, _ in FIELDS)) -> DataFrame:
@@ -109,8 +109,7 @@ def current_state(files: ChangeFiles, fields: tuple[str, ...] = tuple(c for _, c
     has the value that the last change setting it gave. Hot keys are combined before the shuffle (aggregates only).
     """
     rows = surviving(files)
-    created = F.col("op") == "created"
-    first = written(rows.filter(created).groupBy("key").agg(F.min("seq").alias("first_seq")), "created")
+    first = rows.filter(F.col("op") == "created").groupBy("key").agg(F.min("seq").alias("first_seq"))
     # an update before the creation must not count, so the creation is joined back
     return _folded(join_by_key(rows.select("key", "seq", "op", *fields), first, ["key"], "inner"), fields)
 

@@ -83,11 +83,12 @@ def feature_table(log: DataFrame, kinds: DataFrame) -> DataFrame:
     nothing = F.array().cast(wide.schema["vector"].dataType)
     wide = wide.select("stream", F.coalesce("vector", nothing).alias("vector"))
     wide = wide.select("stream", dense(F.col("vector"), numbers[0], numbers[-1] - numbers[0] + 1).alias("d"))
-    out = [F.col("stream")]
+    # as text: hundreds of columns are made by one call
+    out = ["stream"]
     for k in numbers:
-        cell = F.col("d")[k - numbers[0]]
-        out += [F.coalesce(cell["n"], F.lit(0)).alias(f"n_{k}"), cell["total"].cast("double").alias(f"total_{k}"), cell["latest"].alias(f"latest_{k}")]
-    return wide.select(*out)
+        cell = f"d[{k - numbers[0]}]"
+        out += [f"coalesce({cell}.n, 0L) AS n_{k}", f"CAST({cell}.total AS DOUBLE) AS total_{k}", f"{cell}.latest AS latest_{k}"]
+    return wide.selectExpr(*out)
 
 
 def frequent_cells(log: DataFrame, kinds: DataFrame, least: int = 5) -> DataFrame:

@@ -20,7 +20,7 @@ from tidelog.functions.json import is_object, json_object, may_hold_key, top_lev
 from tidelog.functions.names import is_system_name, reference_stream, reference_version
 from tidelog.operators.changefeed import lifetimes
 from tidelog.schema import INDEX_FLUSHED, LINK_TYPE, STREAM_CREATED, STREAM_DELETED, STREAM_UPDATED, STREAMS_STREAM
-from tidelog.session import is_small, join_by_key, small_side, written
+from tidelog.session import is_small, join_by_key, sized, written
 
 CHANGES = {STREAM_CREATED: "created", STREAM_UPDATED: "updated", STREAM_DELETED: "deleted"}
 
@@ -63,7 +63,7 @@ def ended_streams(extract: DataFrame) -> DataFrame:
     body = F.struct(F.col("kind").alias("op"), F.col("text").alias("key"))
     changes = extract.filter(F.col("kind").isin(*CHANGES.values())).groupBy(F.col("version").alias("seq")).agg(F.min_by(body, F.coalesce("position", F.lit(2**63 - 1))).alias("b")).select("seq", "b.*")
     gone = lifetimes(changes).filter(F.col("valid_to").isNotNull())
-    return written(gone.select(F.col("key").alias("target_stream"), F.col("valid_to").alias("target_end")), "ended")
+    return sized(gone.select(F.col("key").alias("target_stream"), F.col("valid_to").alias("target_end")), "ended")
 
 
 def _status(refs: DataFrame) -> DataFrame:
@@ -78,11 +78,9 @@ def _status(refs: DataFrame) -> DataFrame:
 
 
 def judged_names(refs: DataFrame, log: DataFrame, ended: DataFrame) -> DataFrame:
-    """Links and causes with their target, its interval and status. refs and ended are read more than once: cut them first."""
+    """Links and causes with their target, its interval and status. refs and ended are cut already."""
     refs = refs.filter(F.col("kind") != "flush").withColumn("target_stream", reference_stream(F.col("text"))).withColumn("target_version", reference_version(F.col("text")))
     known = join_by_key(refs, ended, ["target_stream"], "left")
-    if not is_small(ended):
-        known = written(known, "ends")
     parents = (
         log.filter(F.col("stream").isNotNull() & F.col("version").isNotNull())
         .select(F.col("stream").alias("target_stream"), F.col("version").alias("target_version"), "position")
@@ -98,9 +96,11 @@ def judged_flushes(refs: DataFrame, log: DataFrame) -> DataFrame:
     The log's positions are filtered by the positions asked for before anything is shuffled.
     """
     refs = refs.filter(F.col("kind") == "flush").withColumn("target", F.when(F.col("text").rlike(r"^-?\d+$"), F.col("text")).try_cast("long"))
-    asked = small_side(refs.select("target").filter(F.col("target").isNotNull()).distinct(), "asked")
-    there = written(log.select(F.col("position").alias("target")).join(asked, "target", "left_semi").distinct().withColumn("target_start", F.col("target")), "there")
-    met = join_by_key(refs, there, ["target"], "left")
+    asked = sized(refs.select("target").filter(F.col("target").isNotNull()).distinct(), "asked")
+    small = is_small(asked)
+    there = log.select(F.col("position").alias("target")).join(F.broadcast(asked) if small else asked, "target", "left_semi").distinct().withColumn("target_start", F.col("target"))
+    # what is there is a part of what was asked for, so it is small if that is
+    met = refs.join(F.broadcast(there), "target", "left") if small else join_by_key(refs, there, ["target"], "left")
     return _status(met.withColumns({"target_stream": F.lit(None).cast("string"), "target_version": F.lit(None).cast("int"), "target_end": F.lit(None).cast("int")}))
 
 

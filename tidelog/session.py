@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -89,8 +89,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def value_bytes(df: DataFrame) -> int:
-    """Bytes of all values of df: 8 for a number, the length of a text, that of its JSON for what is nested."""
+def _size_of_values(df: DataFrame) -> Column:
+    """Bytes of a row's values: 8 for a number, the length of a text, that of its JSON for what is nested."""
 
     def size(name: str, kind: str) -> Column:
         c = F.col(f"`{name}`")
@@ -98,8 +98,21 @@ def value_bytes(df: DataFrame) -> int:
             return F.coalesce(F.octet_length(c), F.lit(0)) + 8
         return F.length(F.to_json(F.struct(c))) if kind.startswith(("array", "map", "struct")) else F.lit(8)
 
-    one = reduce(lambda a, b: a + b, [size(n, k) for n, k in df.dtypes])
-    return df.agg(F.sum(one.cast("long")).alias("b")).first()["b"] or 0
+    return reduce(lambda a, b: a + b, [size(n, k) for n, k in df.dtypes]).cast("long")
+
+
+def value_bytes(df: DataFrame) -> int:
+    """Bytes of all values of df; known already if it comes from sized()."""
+    known = getattr(df, "_value_bytes", None)
+    return known if known is not None else df.agg(F.sum(_size_of_values(df)).alias("b")).first()["b"] or 0
+
+
+def sized(df: DataFrame, label: str) -> DataFrame:
+    """As written(), for a join side: the bytes of its values are summed up while it is written."""
+    seen = Observation()
+    out = written(df.observe(seen, F.sum(_size_of_values(df)).alias("b")), label)
+    out._value_bytes = seen.get.get("b") or 0
+    return out
 
 
 def is_small(df: DataFrame, most_bytes: int | None = None) -> bool:
@@ -109,17 +122,17 @@ def is_small(df: DataFrame, most_bytes: int | None = None) -> bool:
 def small_side(df: DataFrame, label: str, most_bytes: int | None = None) -> DataFrame:
     """A join side that is computed once, written to the shared folder, and broadcast only if its values have at most
     most_bytes (BROADCAST_BYTES). Beyond that the hint is left out and the planner joins by shuffle."""
-    side = written(df, label)
+    side = sized(df, label)
     return F.broadcast(side) if is_small(side, most_bytes) else side
 
 
 def join_by_key(rows: DataFrame, side: DataFrame, on: list[str], how: str, extra: Column | None = None, merge: bool = False) -> DataFrame:
     """rows joined with side, which has at most one row per key; a key with any share of the rows doesn't concentrate.
 
-    how: inner, left, left_semi or left_anti; extra: a further condition on columns `l.x` and `r.y`. Both inputs are read
-    more than once, so cut them first. A small side is broadcast (checked by bytes; not if `merge` asks for a sort-merge
-    join). Else the rows of hot keys meet a broadcast of those keys' side rows (fewer than 1 / HOT_SHARE), rows with a
-    null key are not joined at all, and the rest is joined by shuffle.
+    how: inner, left, left_semi or left_anti; extra: a further condition on columns `l.x` and `r.y`. The side is written
+    once and broadcast if it is small (checked by bytes; neither if `merge` asks for a sort-merge join). Else the rows are
+    written once, those of hot keys meet a broadcast of those keys' side rows (fewer than 1 / HOT_SHARE), rows with a null
+    key are not joined at all, and the rest is joined by shuffle.
     """
     others = [c for c in side.columns if c not in on] if how in ("inner", "left") else []
     clash = [c for c in others if c in rows.columns]
@@ -131,8 +144,11 @@ def join_by_key(rows: DataFrame, side: DataFrame, on: list[str], how: str, extra
         out = a.alias("l").join(b.alias("r"), condition if extra is None else condition & extra, how)
         return out.select("l.*", *[F.col(f"r.{c}") for c in others])
 
-    if not merge and is_small(side):
-        return joined(rows, F.broadcast(side))
+    if not merge:
+        side = side if hasattr(side, "_value_bytes") else sized(side, "side")
+        if is_small(side):
+            return joined(rows, F.broadcast(side))
+    rows = written(rows, "rows")
     known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in on])
     counts = rows.filter(known).groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
     total = rows.count()
