@@ -154,3 +154,6 @@ def test_subscribing_to_all_resolves_links(spark, store, tmp_path):
     got = []
     store.subscribe_all(lambda batch, n: got.extend((r["link_stream"], r["stream"]) for r in batch.collect()), f"file://{tmp_path}/all").awaitTermination()
     assert sorted(got, key=str) == sorted([("l", "a"), (None, "a"), (None, "_streams"), (None, "_streams")], key=str)
+    got.clear()
+    store.poll(["a"], lambda batch, n: got.extend(r["version"] for r in batch.collect()), f"file://{tmp_path}/poll", 6)
+    assert got == [0]

@@ -233,6 +233,10 @@ class EventStore:
         self._queries.append(query)
         return query
 
+    def poll(self, streams: list[str], callback: Callable[[DataFrame, int], None], checkpoint: str, seconds: float) -> None:
+        """Push the events of some streams as they come, for a limited time."""
+        subscriptions.poll(self.subscribe(streams, callback, checkpoint, once=False), seconds)
+
     def subscribe_all(self, callback: Callable[[DataFrame, int], None], checkpoint: str, position: int | None = None, once: bool = True) -> StreamingQuery:
         """Push every event from a position on, links resolved as they come."""
         query = subscriptions.push(self.stream(position), callback, checkpoint, self.log, once)

@@ -91,6 +91,14 @@ def push(rows: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint
     return writer.start()
 
 
+def poll(query: StreamingQuery, seconds: float) -> bool:
+    """Let a subscription that goes on for good run for a limited time, then stop it; whether it ended by itself. What it has
+    not handled comes again at the next start from its checkpoint."""
+    ended = query.awaitTermination(seconds)
+    query.stop()
+    return bool(ended)
+
+
 def resolved(rows: DataFrame, log: DataFrame, path: str, on_missing: str = "drop") -> DataFrame:
     """Run a stream up to the present head of its source with links resolved: what came, with link_stream and link_version.
 
