@@ -35,6 +35,7 @@ FAN_OUT = 16
 #: Generations that one task asks at a time: with SHARD_KEYS keys each, 64 filters have 80 MB.
 ASKED_TOGETHER = 64
 GENERATION = "level int, generation long, digest string, shards int"
+NAME = ["level", "generation", "digest", "shards"]
 FILTERS = f"{GENERATION}, shard int, n_keys long, seed long, block long, prints binary"
 
 
@@ -126,8 +127,9 @@ def with_generation(entries: DataFrame, key: str, batch: str, batches: int) -> D
     return rows.select("h", "level", F.when(F.col("level") < 0, 0).otherwise(F.floor(F.col("at") / size)).cast("long").alias("generation"))
 
 
-def generations(sealed: DataFrame, key: str, batch: str) -> tuple[int, DataFrame]:
-    """The number of batches, and level, generation, digest, shards of the generations that the sealed rows make.
+def generations(sealed: DataFrame, key: str, batch: str) -> tuple[int, list[tuple]]:
+    """The number of batches, and level, generation, digest, shards of the generations that the sealed rows make: fewer than
+    FAN_OUT for each level, so a list on the driver.
 
     The digest is made of the number of rows and of sums over the hashes of their keys, so it tells what a filter must hold
     without the filter. One scan after that for the number of batches.
@@ -138,7 +140,7 @@ def generations(sealed: DataFrame, key: str, batch: str) -> tuple[int, DataFrame
     low, high = F.pmod("h", F.lit(1 << 31)), F.pmod(F.xxhash64("h"), F.lit(1 << 31))
     per = rows.groupBy("level", "generation").agg(F.concat_ws("-", F.count(F.lit(1)), F.sum(low), F.sum(high)).alias("digest"), F.approx_count_distinct("h").alias("n"))
     shards = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / SHARD_KEYS, F.lit(1.0)))))
-    return batches, written(per.select("level", "generation", "digest", shards.cast("int").alias("shards")), "generations")
+    return batches, sorted(tuple(r) for r in per.select("level", "generation", "digest", shards.cast("int").alias("shards")).collect())
 
 
 class FilterStore:
@@ -155,41 +157,47 @@ class FilterStore:
         return FilterStore(sealed.sparkSession, f"{shared_dir(sealed.sparkSession)}/seen-filters-{place.hex}")
 
     def filters(self) -> DataFrame:
-        """All filters of finished builds."""
+        """All filters of finished builds, with the name of the build (run)."""
         fs, at = hadoop(self.spark, self.path)
         runs = [s.getPath().toString() for s in fs.listStatus(at)] if fs.exists(at) else []
         done = [r for r in runs if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{r}/_SUCCESS"))]
-        return self.spark.read.schema(FILTERS).parquet(*done) if done else self.spark.createDataFrame([], FILTERS)
+        if not done:
+            return self.spark.createDataFrame([], f"{FILTERS}, run string")
+        return self.spark.read.schema(FILTERS).parquet(*done).withColumn("run", F.regexp_extract("_metadata.file_path", "/(run-[0-9a-f]+)/", 1))
 
-    def seal(self, sealed: DataFrame, key: str, batch: str) -> DataFrame:
-        """Build the filters that are absent; the filters of the generations that the sealed rows make now."""
+    def _built(self) -> dict[tuple, str]:
+        """The generations that have filters, each with one build of it (builds at the same time may make a filter twice)."""
+        rows = self.filters().groupBy(*NAME).agg(F.min("run").alias("run")).collect()
+        return {tuple(r)[:-1]: r["run"] for r in rows}
+
+    def seal(self, sealed: DataFrame, key: str, batch: str) -> tuple[list[tuple], DataFrame]:
+        """Build the filters that are absent; the generations that the sealed rows make now (NAME), and their filters."""
         batches, wanted = generations(sealed, key, batch)
-        name = ["level", "generation", "digest", "shards"]
-        have = self.filters().select(*name).distinct()
-        absent = written(wanted.join(have, name, "left_anti"), "absent")
-        if not absent.isEmpty():
-            rows = with_generation(sealed, key, batch, batches).join(F.broadcast(absent), ["level", "generation"]).distinct()
+        absent = sorted(set(wanted) - set(self._built()))
+        if absent:
+            now = F.broadcast(self.spark.createDataFrame(absent, GENERATION))
+            rows = with_generation(sealed, key, batch, batches).join(now, ["level", "generation"]).distinct()
 
             def build(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
                 h = np.unique(pdf["h"].to_numpy().view(np.uint64))
                 seed, block, prints = build_filter(h)
-                return pd.DataFrame([(*group, len(h), seed, block, prints.tobytes())], columns=[*name, "shard", "n_keys", "seed", "block", "prints"])
+                return pd.DataFrame([(*group, len(h), seed, block, prints.tobytes())], columns=[*NAME, "shard", "n_keys", "seed", "block", "prints"])
 
-            made = rows.withColumn("shard", _spread(F.col("shards"))).groupBy(*name, "shard").applyInPandas(build, FILTERS)
+            made = rows.withColumn("shard", _spread(F.col("shards"))).groupBy(*NAME, "shard").applyInPandas(build, FILTERS)
             made.write.parquet(f"{self.path}/run-{uuid.uuid4().hex}")
-        # builds at the same time may have made a filter twice
-        return self.filters().join(F.broadcast(wanted), name, "left_semi").dropDuplicates([*name, "shard"])
+        built = self._built()
+        now = self.spark.createDataFrame([(*g, built[g]) for g in wanted], f"{GENERATION}, run string")
+        return wanted, self.filters().join(F.broadcast(now), [*NAME, "run"], "left_semi").drop("run")
 
 
-def probe(filters: DataFrame, keys: DataFrame) -> DataFrame:
-    """h, hits: how many generations say yes (never fewer than hold the key) to each distinct hash of keys."""
-    shape = filters.select("level", "generation", "shards").distinct().toPandas().sort_values(["level", "generation"])
-    if shape.empty:
+def probe(generations_: list[tuple], filters: DataFrame, keys: DataFrame) -> DataFrame:
+    """h, hits: how many generations (NAME) say yes (never fewer than hold the key) to each distinct hash of keys."""
+    if not generations_:
         return keys.select("h").distinct().withColumn("hits", F.lit(0))
-    most = int(shape["shards"].max())
-    chunks = math.ceil(len(shape) / ASKED_TOGETHER)
+    most = max(shards for *_, shards in generations_)
+    chunks = math.ceil(len(generations_) / ASKED_TOGETHER)
     spark = filters.sparkSession
-    numbered = [(int(r.level), int(r.generation), i % chunks) for i, r in enumerate(shape.itertuples(index=False))]
+    numbered = [(level, generation, i % chunks) for i, (level, generation, *_) in enumerate(generations_)]
     chunk = F.broadcast(spark.createDataFrame(numbered, "level int, generation long, chunk int"))
     asked = keys.select("h").distinct().withColumn("bin", _spread(F.lit(most)))
     if chunks > 1:
@@ -212,19 +220,19 @@ def probe(filters: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def probed_keys(sealed: DataFrame, incoming: DataFrame, key: str, order: str, batch: str, store: FilterStore) -> DataFrame:
-    """One row per distinct non-null incoming key, written to the shared folder: key, h, n, first_order, hits, known.
+    """One row per distinct non-null incoming key: key, h, n, first_order, hits, known.
 
     hits is the filters' answer (0: no), known the exact one. Keys without a hit are not known, and nothing else is asked
     about them; the keys with a hit go to where the sealed rows are scanned.
     """
     new = incoming.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).alias("o"))
     per = written(new.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first_order")).withColumn("h", key_hash(F.col("key"))), "asked")
-    answered = written(per.join(probe(store.seal(sealed, key, batch), per), "h", "left").withColumn("hits", F.coalesce("hits", F.lit(0))), "answered")
+    answered = written(per.join(probe(*store.seal(sealed, key, batch), per), "h", "left").withColumn("hits", F.coalesce("hits", F.lit(0))), "answered")
     asked = small_side(answered.filter(F.col("hits") > 0).select("key"), "yes")
     there = sealed.select(F.col(key).alias("key")).join(asked, "key", "left_semi").distinct().withColumn("there", F.lit(True))
     yes = answered.filter(F.col("hits") > 0).join(there, "key", "left").withColumn("known", F.coalesce("there", F.lit(False))).drop("there")
     no = answered.filter(F.col("hits") == 0).withColumn("known", F.lit(False))
-    return written(yes.unionByName(no).select("key", "h", "n", "first_order", "hits", "known"), "probed")
+    return yes.unionByName(no).select("key", "h", "n", "first_order", "hits", "known")
 
 
 def seen_rows(sealed: DataFrame, incoming: DataFrame, key: str, order: str, batch: str, store: FilterStore | None = None) -> DataFrame:
@@ -249,12 +257,12 @@ def error_report(sealed: DataFrame, incoming: DataFrame, key: str, order: str, b
     for those with a hit.
     """
     store = store or FilterStore.of_table(sealed)
-    keys = probed_keys(sealed, incoming, key, order, batch, store)
+    keys = written(probed_keys(sealed, incoming, key, order, batch, store), "probed")
     asked = small_side(keys.select("key"), "asked")
     exact = sealed.select(F.col(key).alias("key")).join(asked, "key", "left_semi").distinct().withColumn("there", F.lit(True))
     yes = F.col("hits") > 0
     full = keys.join(exact, "key", "left").withColumn("there", F.coalesce("there", F.lit(False)))
-    n = store.seal(sealed, key, batch).select("level", "generation").distinct().count()
+    n = len(generations(sealed, key, batch)[1])
     one = 2.0**-BITS
     return full.agg(
         F.count(F.lit(1)).alias("n_keys"),
