@@ -77,8 +77,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 @atexit.register
 def _at_exit() -> None:
-    if SparkContext._active_spark_context is not None and (spark := SparkSession.getActiveSession()) is not None:
-        with contextlib.suppress(Exception):
+    with contextlib.suppress(Exception):  # the engine may be gone by then
+        if SparkContext._active_spark_context is not None and (spark := SparkSession.getActiveSession()) is not None:
             remove_scratch(spark)
 
 
